@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.llm import neardup, topn
+from rollmill.llm import leak, neardup, pairs, topn
 from rollmill.plans.tables import table
 
 #: Problem 1 asks for the best four answers of each prompt.
@@ -36,11 +36,41 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "box_prompts"), "seq", "input", 0.75)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts with the evaluation items that they quote."""
+    return leak.find_leaks(table(spark, folder, "box_prompts"), "seq", "input", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p3_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation item with the number of prompts that quote it."""
+    items = table(spark, folder, "eval_items").select("item_id", "suite")
+    return items.join(F.broadcast(p3_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("c"))), "item_id", "left").select("item_id", "suite", F.coalesce("c", F.lit(0).cast("bigint")).alias("n_prompts"))
+
+
+def _flags(spark: SparkSession, folder: str) -> DataFrame:
+    fields = pairs.pair_fields(table(spark, folder, "sft_pairs"), table(spark, folder, "preference_pairs"))
+    return pairs.flag_pairs(fields, ["tab", "seq", "field"], "prompt", "answer")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective answers, each with the first rule that applied."""
+    return _flags(spark, folder).where(F.col("place") == 1).select("tab", "seq", "field", "defect")
+
+
+def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective answers with every rule that applied."""
+    return _flags(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_items": p3_items,
+    "p4_found": p4_found,
+    "p4_flags": p4_flags,
 }
 
 _P1 = """
