@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.llm import leak, neardup, pairs, topn
+from rollmill.llm import leak, mixing, neardup, packing, pairs, tokens, topn
+from rollmill.plans.store import written
 from rollmill.plans.tables import table
 
 #: Problem 1 asks for the best four answers of each prompt.
@@ -62,6 +63,32 @@ def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _flags(spark, folder)
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return written(tokens.token_sizes(table(spark, folder, "documents"), ["doc_id", "source"], "text"), "tokens")
+
+
+def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document (or piece of one that exceeds the capacity) with its container, for every kind of container."""
+    return packing.pack(_sizes(spark, folder), "doc_id", "n_tokens", table(spark, folder, "containers"))
+
+
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, tokens placed and share of the space used, by kind."""
+    held = p5_packed(spark, folder).groupBy("kind", "container").agg(F.sum("n_tokens").alias("n"))
+    by_kind = held.groupBy("kind").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    return by_kind.join(F.broadcast(table(spark, folder, "containers")), "kind").withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+
+
+def p6_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Uses of documents in every mix, with exact target shares."""
+    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[0]
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of every source of every mix."""
+    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
@@ -71,6 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_items": p3_items,
     "p4_found": p4_found,
     "p4_flags": p4_flags,
+    "p5_packed": p5_packed,
+    "p5_fill": p5_fill,
+    "p6_mixed": p6_mixed,
+    "p6_shares": p6_shares,
 }
 
 _P1 = """
