@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.llm import leak, mixing, neardup, packing, pairs, tokens, topn
+from rollmill.llm import leak, mixing, neardup, packing, pairs, subjects, tokens, topn
 from rollmill.plans.store import written
 from rollmill.plans.tables import table
 
@@ -89,6 +89,21 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[1]
 
 
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's subjects with the share of its sentences."""
+    return subjects.subject_shares(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the subjects that at least a quarter of their sentences treat."""
+    return p7_shares(spark, folder).where(F.col("n_sentences") * 4 >= F.col("of_sentences")).select("doc_id", "subject")
+
+
+def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and sentences by subject."""
+    return p7_shares(spark, folder).groupBy("subject").agg(F.count(F.when(F.col("n_sentences") * 4 >= F.col("of_sentences"), 1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
@@ -102,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_fill": p5_fill,
     "p6_mixed": p6_mixed,
     "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_composition": p7_composition,
 }
 
 _P1 = """
