@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollmill.plans import selection
+from rollmill.plans import groups, selection, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for _module in (selection,):
+for _module in (selection, groups, tokens):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
