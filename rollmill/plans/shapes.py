@@ -130,7 +130,7 @@ _BLEND = lambda w, stop: f"""
 SQL = {
     "sft_rows": f"SELECT seq, CAST({_NW('prompt')} AS INTEGER) AS prompt_ids_len, CAST(length(prompt) + 19 AS INTEGER) AS n_prompt, CAST(length(response) AS INTEGER) AS n_response FROM sft_pairs WHERE prompt <> '' AND response <> '' AND {_NW('prompt')} < 40",
     "pretrain_rows": "SELECT doc_id, 0 AS prompt_ids_len, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text <> ''",
-    "chat_messages": "SELECT seq, CAST(length(prompt) + length(response) + 55 AS INTEGER) AS n_full, CAST(length(prompt) + 50 AS INTEGER) AS n_prompt, CAST(length(response) + 11 AS INTEGER) AS n_response FROM sft_pairs WHERE prompt IS NOT NULL AND response IS NOT NULL",
+    "chat_messages": "SELECT seq, CAST(length(prompt) + length(response) + 61 AS INTEGER) AS n_full, CAST(length(prompt) + 50 AS INTEGER) AS n_prompt, CAST(length(response) + 11 AS INTEGER) AS n_response FROM sft_pairs WHERE prompt IS NOT NULL AND response IS NOT NULL",
     "multiturn_ranges": """
         WITH p AS (SELECT seq, regexp_replace(chr(10) || prompt, '\\n(User|Assistant): ?', chr(1) || '\\1' || chr(2), 'g') AS m FROM sft_pairs WHERE prompt LIKE 'User: %'),
         t AS (SELECT seq, unnest(list_filter(string_split(m, chr(1)), lambda q: contains(q, chr(2)))) AS part, unnest(range(len(list_filter(string_split(m, chr(1)), lambda q: contains(q, chr(2)))))) AS turn FROM p),
