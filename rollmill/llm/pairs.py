@@ -123,37 +123,47 @@ def language(text: str) -> str | None:
     return best if n >= 2 and n > 1.25 * second else None
 
 
+#: Stems that every language name starts with or holds: a cheap test before the pattern.
+_STEMS = ("engl", "angl", "ingl", "germ", "deut", "llem", "alem", "fren", "fran", "span", "espa", "castell")
+
+
 def asked_language(prompt: str) -> str | None:
-    found = _ASKS.findall(prompt.lower())
+    low = prompt.lower()
+    if not any(stem in low for stem in _STEMS):
+        return None
+    found = _ASKS.findall(low)
     return LANGUAGE_NAMES[found[-1]] if found else None
 
 
 def _visible(answer: str) -> str:
     """The answer without thinking, end marks and tags."""
-    text = _THINK.sub(" ", answer)
-    if "</think>" in text:
-        text = text.rsplit("</think>", 1)[1]
-    return _TAG.sub(" ", _END_MARK.sub(" ", text))
+    text = answer
+    if "<" in text or "[" in text:
+        text = _THINK.sub(" ", text)
+        if "</think>" in text:
+            text = text.rsplit("</think>", 1)[1]
+        text = _TAG.sub(" ", _END_MARK.sub(" ", text))
+    return text
 
 
-def is_empty(answer: str) -> bool:
+def is_empty(answer: str, visible: str) -> bool:
     opened = answer.lower().rfind("<think>")
     if opened >= 0 and "</think>" not in answer[opened:].lower():
         return False
-    text = _visible(answer).strip()
+    text = visible.strip()
     if not _WORD.search(text):
         return True
     return len(text) < 40 and text.lower().strip(" \t\n\r\"'`*_.,;:()[]{}<>|-") in NO_VALUE
 
 
-def is_truncated(answer: str, model: Model) -> bool:
+def is_truncated(answer: str, visible: str, model: Model) -> bool:
     low = answer.lower()
     opened = low.rfind("<think>")
     if opened >= 0 and "</think>" not in low[opened:]:
         return True
     if low.rfind("<answer>") > low.rfind("</answer>"):
         return True
-    text = _visible(answer).rstrip()
+    text = visible.rstrip()
     if text.count("```") % 2 or text.count("\\boxed{") > len(re.findall(r"\\boxed\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", text)):
         return True
     if text.count("“") > text.count("”") + text.count("„") or text.count("«") > text.count("»") or text.count("$$") % 2:
@@ -183,8 +193,8 @@ def is_truncated(answer: str, model: Model) -> bool:
     return not model.whole(word.lower())
 
 
-def is_refusal(answer: str) -> bool:
-    text = _visible(answer).replace("’", "'").lower().strip(" \n\"'*_")
+def is_refusal(visible: str) -> bool:
+    text = visible.replace("’", "'").lower().strip(" \n\"'*_")
     if not _REFUSAL.search(text):
         return False
     for sentence in _SENTENCE.split(text):
@@ -196,16 +206,17 @@ def is_refusal(answer: str) -> bool:
     return True
 
 
-def is_copied(prompt: str, answer: str) -> bool:
-    text = _LABEL.sub("", _visible(answer).strip())
-    got = _WORD.findall(text.lower())
+def is_copied(prompt: str, turn: str, visible: str) -> bool:
+    got = _WORD.findall(_LABEL.sub("", visible.strip()).lower())
     if not got:
         return False
-    turn = last_turn(prompt)
     for source in (turn, prompt) if turn != prompt else (prompt,):
         words = _WORD.findall(_END_MARK.sub(" ", source).lower())
         if not words or len(got) < 0.5 * len(words):
             continue
+        known = set(words)
+        if sum(w in known for w in got) < 0.75 * len(got):
+            continue
         bag, pairs = Counter(words), Counter(zip(words, words[1:]))
         own, own_pairs = Counter(got), Counter(zip(got, got[1:]))
         times = max(1, round(len(got) / len(words)))  # given back more than once
@@ -216,25 +227,29 @@ def is_copied(prompt: str, answer: str) -> bool:
     return False
 
 
-def is_foreign(prompt: str, answer: str) -> bool:
-    wanted = asked_language(prompt) or language(last_turn(prompt))
-    given = language(_FENCE.sub(" ", _visible(answer)))
+def is_foreign(prompt: str, turn: str, visible: str) -> bool:
+    wanted = asked_language(prompt) or language(turn)
+    given = language(_FENCE.sub(" ", visible) if "```" in visible else visible)
     return bool(wanted and given and wanted != given)
 
 
 def defects(prompt: str | None, answer: str | None, model: Model) -> list[str]:
     """Every defect of the answer, in the order of the rules. A null answer is empty, and an empty one has no other defect."""
-    if answer is None or is_empty(answer):
+    if answer is None:
+        return ["empty"]
+    visible = _visible(answer)
+    if is_empty(answer, visible):
         return ["empty"]
     asked = prompt is not None and bool(prompt.strip())
+    turn = last_turn(prompt) if asked else ""
     out = []
-    if asked and is_copied(prompt, answer):  # before "truncated": a copy may lack its full stop
+    if asked and is_copied(prompt, turn, visible):  # before "truncated": a copy may lack its full stop
         out.append("copied")
-    if is_truncated(answer, model):
+    if is_truncated(answer, visible, model):
         out.append("truncated")
-    if is_refusal(answer):
+    if is_refusal(visible):
         out.append("refusal")
-    if asked and is_foreign(prompt, answer):
+    if asked and is_foreign(prompt, turn, visible):
         out.append("language")
     return out
 
