@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollmill.functions.text import n_words
@@ -68,9 +68,9 @@ def concat_sides(spark, folder):
 
 
 def conflict_table(spark, folder):
-    """Event types seen together at a user conflict, in this example: all ordered pairs of different types."""
-    types = table(spark, folder, "events").select("event_type").distinct()
-    pairs = types.select(F.col("event_type").alias("a")).join(types.select(F.col("event_type").alias("b")), F.col("a") < F.col("b"))
+    """Event types that follow one another in a user's events stand for conflicting instructions here."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    pairs = table(spark, folder, "events").select(before.alias("a"), F.col("event_type").alias("b")).where(F.col("a").isNotNull()).distinct()
     return shape.symmetric_conflicts(pairs)
 
 
@@ -149,7 +149,7 @@ SQL = {
     """,
     "few_shot_prompts": "SELECT item_id, CAST(length('Question: What is 1 + 1?' || chr(10) || 'Answer: 2') * 2 + 4 + length('Question: ' || text || chr(10) || 'Answer:') AS INTEGER) AS n FROM eval_items",
     "concat_sides": "SELECT side, count(t) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT 0 AS side, chosen AS t FROM preference_pairs UNION ALL SELECT 1, rejected FROM preference_pairs) GROUP BY 1",
-    "conflict_table": "WITH t AS (SELECT DISTINCT event_type FROM events) SELECT x.event_type AS a, y.event_type AS b FROM t x, t y WHERE x.event_type <> y.event_type",
+    "conflict_table": "WITH p AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS a, event_type AS b FROM events), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) SELECT DISTINCT a, b FROM q WHERE a <> b",
     "zip_join": "WITH a AS (SELECT seq, prompt_len, row_number() OVER (ORDER BY seq) - 1 AS pos FROM sft_pairs), b AS (SELECT seq AS box_seq, row_number() OVER (ORDER BY seq) - 1 AS pos FROM box_prompts) SELECT pos, seq, box_seq, prompt_len FROM a JOIN b USING (pos)",
     "blend_sources": _BLEND((0.5, 0.3, 0.2), "min"),
     "blend_all": _BLEND((0.2, 0.3, 0.5), "max"),
