@@ -65,16 +65,15 @@ def kk_score(spark, folder):
 
 
 def _sequences(spark, folder):
-    """Answers as rendered sequences in the five encodings, by seq modulo 6 (the sixth fits none), closed by a stop word."""
+    """Whole answers, with the marks that they hold, as rendered sequences in the five encodings, by seq modulo 6 (the sixth fits none), closed by a stop word."""
     k = F.col("seq") % 6
-    body = F.concat(F.lit("<think>because</think><answer>"), F.substring("x", 1, 40), F.lit("</answer>"))
+    body = F.concat(F.lit("<think>because</think><answer>"), F.col("x"), F.lit("</answer>"))
     head = (
         F.when(k == 0, F.lit("<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n")).when(k == 1, F.lit("<｜begin▁of▁sentence｜><｜User｜>Hi<｜Assistant｜>"))
         .when(k == 2, F.lit("<|start_header_id|>user<|end_header_id|>Hi<|start_header_id|>assistant<|end_header_id|>")).when(k == 3, F.lit("[INST] Hi [/INST]")).when(k == 4, F.lit("User: Hi\nAssistant:")).otherwise(F.lit("Hi "))
     )
     end = F.when(k == 0, F.lit("<|im_end|>")).when(k == 1, F.lit("<｜end▁of▁sentence｜>")).when(k == 2, F.lit("<|eot_id|>")).otherwise(F.lit("</s>"))
-    rows = _answers(spark, folder).where(~F.col("x").rlike("[<>\\[]") & ~F.col("x").contains("ssistant"))
-    return rows.select("seq", F.length(body).alias("body_length"), F.concat(head, body, end, F.lit("rest")).alias("x"))
+    return _answers(spark, folder).select("seq", F.length(body).alias("body_length"), F.concat(head, body, end, F.lit("rest")).alias("x"))
 
 
 def sequence_route(spark, folder):
