@@ -97,7 +97,7 @@ def repetition_dense(spark, folder):
 
 def strip_marks(spark, folder):
     x = F.concat(F.lit("<pad><pad></s>"), F.col("x"), F.lit("</s></s><pad>"))
-    return _answers(spark, folder).where(~F.col("x").rlike("</s>|<pad>")).select("seq", F.length(X.strip_marks(x, "</s>", "<pad>")).alias("n"))
+    return _answers(spark, folder).select("seq", F.length(X.strip_marks(x, "</s>", "<pad>")).alias("n"))
 
 
 def finish_text(spark, folder):
@@ -130,7 +130,7 @@ def boxed_match(spark, folder):
 
 
 def extracted_answers(spark, folder):
-    return _answers(spark, folder).where(F.col("x").contains("boxed") | ~F.col("x").contains("nswer")).select("seq", N.extract_answer(F.col("x")).alias("answer"))
+    return _answers(spark, folder).select("seq", N.extract_answer(F.col("x")).alias("answer"))
 
 
 def numeric_equal(spark, folder):
