@@ -91,6 +91,12 @@ def tempered_targets(tokens: Sequence[float], targets: Sequence[float], repeats:
     return weights, exponent, float(budget)
 
 
+def larger_budget(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence[float], reach: float) -> float:
+    """The token budget that lies the share ``reach`` of the way from the largest at which the targets hold to what the natural shares allow."""
+    exact, natural = tempered_targets(tokens, targets, repeats)[2], tempered_targets(tokens, targets, repeats, math.inf)[2]
+    return exact + reach * max(0.0, natural - exact)
+
+
 def fill_gap(rows: pd.DataFrame, gap: float) -> pd.DataFrame:
     """Of rows in permuted order, those that fit one after another into ``gap`` tokens; one more if that comes nearer."""
     rows = rows.sort_values(["u", "id"], kind="stable")
@@ -107,7 +113,7 @@ def fill_gap(rows: pd.DataFrame, gap: float) -> pd.DataFrame:
     return rows[take]
 
 
-def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None) -> tuple[list[dict], dict[str, tuple[int, int]]]:
+def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None, reach: float) -> tuple[list[dict], dict[str, tuple[int, int]]]:
     """Weights and passes of every (mix, source) of ``targets``, a stated table; totals of those sources, one row each, come to the driver."""
     goals = targets.where(F.col("mix").isNotNull() & F.col("source").isNotNull()).select("mix", "source", "target_share", "max_repeats").collect()
     listed = targets.select("source").where(F.col("source").isNotNull()).distinct()
@@ -116,7 +122,11 @@ def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None
     for mix in sorted({g.mix for g in goals}):
         own = sorted((g for g in goals if g.mix == mix), key=lambda g: g.source)
         tokens = [totals.get(g.source, (0, 0))[0] for g in own]
-        weights, exponent, budget = tempered_targets(tokens, [g.target_share or 0 for g in own], [g.max_repeats or 0 for g in own], (budgets or {}).get(mix))
+        wishes, limits = [g.target_share or 0 for g in own], [g.max_repeats or 0 for g in own]
+        stated = (budgets or {}).get(mix)
+        if stated is None and reach > 0:
+            stated = larger_budget(tokens, wishes, limits, reach)
+        weights, exponent, budget = tempered_targets(tokens, wishes, limits, stated)
         for g, t, w in zip(own, tokens, weights):
             wanted = min(w * budget, t * (g.max_repeats or 0))
             passes = int(math.floor(wanted / t + 1e-9)) if t else 0
@@ -124,7 +134,7 @@ def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None
     return plan, totals
 
 
-def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str, float] | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str, float] | None = None, seed: int = 17, reach: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Two tables: uses of documents (``mix``, ``source``, ``id``, ``pass_no``, ``n_tokens``) and shares reached, one row per (mix, source).
 
     ``sizes`` has ``id``, ``source``, ``n_tokens``; ``targets`` has ``mix``, ``source``, ``target_share``, ``max_repeats`` (both unique per
@@ -132,7 +142,8 @@ def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str
     documents has share 0 and the others keep their proportions. Documents of unlisted or null sources, null ids and documents without
     tokens are left out; empty tables give empty results; other columns aren't read.
 
-    Weights and budget come from :func:`tempered_targets`. A source is used in whole passes while its budget lasts. The last, partial
+    Weights and budget come from :func:`tempered_targets`; mixes without a stated budget take that of :func:`larger_budget` where ``reach``
+    is above 0. A source is used in whole passes while its budget lasts. The last, partial
     pass follows a seeded permutation: documents fall into blocks by hash, blocks are taken whole while the running block totals fit,
     and only the block in which the budget ends (about ``BLOCK_ROWS`` documents) is chosen document by document. No source is ever
     gathered or sorted as a whole, however large.
@@ -140,7 +151,7 @@ def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str
     spark = sizes.sparkSession
     rows = sizes.where(F.col(id).isNotNull() & F.col("source").isNotNull() & (F.col("n_tokens") > 0)).select(F.col(id).alias("id"), "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
     rows = written(rows, "sizes")
-    plan, totals = _plan(rows, targets, budgets)
+    plan, totals = _plan(rows, targets, budgets, reach)
     schema = "mix string, source string, target_share double, max_repeats int, weight double, exponent double, passes int, rest double, blocks int"
     listed = spark.createDataFrame([tuple({**p, "blocks": max(1, -(-totals.get(p["source"], (0, 0))[1] // BLOCK_ROWS))}.values()) for p in plan], schema)
 

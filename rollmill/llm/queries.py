@@ -11,6 +11,8 @@ from rollmill.llm import leak, mixing, neardup, packing, pairs, subjects, tokens
 from rollmill.plans.store import written
 from rollmill.plans.tables import table
 
+#: The budgeted mixes lie halfway between exact targets and natural shares.
+REACH = 0.5
 #: Problem 1 asks for the best four answers of each prompt.
 BEST = 4
 
@@ -89,6 +91,16 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[1]
 
 
+def p6_budgeted(spark: SparkSession, folder: str) -> DataFrame:
+    """Uses of documents in every mix, with budgets beyond those of exact targets, so that the exponent is bisected."""
+    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"), reach=REACH)[0]
+
+
+def p6_budgeted_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of every source of every budgeted mix."""
+    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"), reach=REACH)[1]
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's subjects with the share of its sentences."""
     return subjects.subject_shares(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
@@ -117,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_fill": p5_fill,
     "p6_mixed": p6_mixed,
     "p6_shares": p6_shares,
+    "p6_budgeted": p6_budgeted,
+    "p6_budgeted_shares": p6_budgeted_shares,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_composition": p7_composition,

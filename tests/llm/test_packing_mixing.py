@@ -75,6 +75,23 @@ def test_mix(spark, monkeypatch):
     assert uses.count() == 0 and {r.n_tokens for r in shares.collect()} == {0}
 
 
+def test_registered_mix_with_a_bisected_exponent(spark, tmp_path):
+    from rollmill.llm import queries
+
+    docs = [(0, "small", "word " * 50)] + [(i, "big" if i % 3 else "middle", "word " * 40) for i in range(1, 900)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("m", "small", 0.1, 4), ("m", "middle", 0.4, 2), ("m", "big", 0.5, 1)], "mix string, source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    exact = {r.source: r for r in queries.QUERIES["p6_shares"](spark, str(tmp_path)).collect()}
+    got = {r.source: r for r in queries.QUERIES["p6_budgeted_shares"](spark, str(tmp_path)).collect()}
+    used = lambda rows: sum(r.n_tokens for r in rows.values())
+    assert exact["big"].exponent == 0 and used(exact) < 2_100  # one short document with a tenth of the mix shrinks it
+    assert 0 < got["big"].exponent < 1 and used(got) > 8 * used(exact)
+    for s, r in got.items():
+        assert abs(r.actual_share - r.target_share) > 0.005 and r.most_uses <= r.max_repeats
+        assert r.actual_share == pytest.approx(r.weight, abs=0.005)
+    assert queries.QUERIES["p6_budgeted"](spark, str(tmp_path)).count() == sum(r.n_rows for r in got.values())
+
+
 def test_token_sizes(spark):
     rows = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "id bigint, text string")
     got = {r.id: r.n_tokens for r in tokens.token_sizes(rows, ["id"], "text").collect()}
