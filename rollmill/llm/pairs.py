@@ -70,6 +70,14 @@ _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+(?:[.!?](?=[\s\"”»<)]|$))?")
 _SENTENCE = re.compile(r"(?<=[.!?])[\s\"”»]+|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|[a-z][.)])\s+\S")
+_CODE = re.compile(r"`[^`\n]*`")
+_QUOTED = re.compile(r'(?<!\w)"[^"\n]*"(?!\w)')
+#: Brackets that open nothing: the marks of list items, and sad faces.
+_NO_BRACKET = re.compile(r"^\s*(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})\)(?=\s)|(?<!\S)[:;=]-?[(\[](?!\S)", re.M)
+_BRACKET = re.compile(r"[()\[\]{}]")
+#: An operator that lacks what should follow it. Attached, "+" and "/" may end a name, a grade or a path.
+_OPERATOR = re.compile(r"[^\W_]\)*\s*(?:[=×÷·&≤≥≠≈→∈∧∨]|[-=]>|[<>]=)$|[^\W_][)\]}]*\s+[-–—+/<>*]{1,2}$|[)\]}]\s*[-–—+/=^×÷·]$|[^\W_]\^$|\S=\S*[^\W_]\+$|(?<!\S)\d+/$")
+_PADDED = re.compile(r"(?<!\S)[A-Za-z0-9+/]{8,}={1,2}$")
 _SIGNED = re.compile(r"(?:^|\s)[—–]{1,2}\s?\w[\w.'-]*(?: \w[\w.'-]*){0,3}$")
 _LAST_TURN = re.compile(r"(?:^|\n)\s*(?:user|human|q|question|nutzer|utilisateur|usuario)\s*:\s*|<\|im_start\|>\s*user\s*|<\|user\|>|\[INST\]|###\s*(?:request|user|instruction)\s*:?\s*", re.I)
 _OTHER_TURN = re.compile(r"\n\s*(?:assistant|bot|ai)\s*:|<\|im_end\|>|<\|assistant\|>|<\|im_start\|>|\[/INST\]|###\s*(?:reply|assistant|response)", re.I)
@@ -156,6 +164,27 @@ def is_empty(answer: str, visible: str) -> bool:
     return len(text) < 40 and text.lower().strip(" \t\n\r\"'`*_.,;:()[]{}<>|-") in NO_VALUE
 
 
+def left_open(text: str) -> bool:
+    """Whether a bracket or a straight quotation is open at the end, code aside. Half-open intervals count as closed.
+
+    A single straight quote can't be told from an apostrophe and counts for nothing.
+    """
+    if "`" in text:
+        text = _CODE.sub(" ", _FENCE.sub(" ", text))
+    if '"' in text:
+        if text.count('"') % 2:
+            k = text.rfind('"')
+            if (k == 0 or text[k - 1].isspace() or text[k - 1] in "([{") and text[k + 1 : k + 2].strip():
+                return True
+        text = _QUOTED.sub(" ", text)
+    if "(" not in text and "[" not in text and "{" not in text:
+        return False
+    depth = 0
+    for c in _BRACKET.findall(_NO_BRACKET.sub(" ", text)):
+        depth = depth + 1 if c in "([{" else max(0, depth - 1)
+    return depth > 0
+
+
 def is_truncated(answer: str, visible: str, model: Model) -> bool:
     low = answer.lower()
     opened = low.rfind("<think>")
@@ -168,6 +197,8 @@ def is_truncated(answer: str, visible: str, model: Model) -> bool:
         return True
     if text.count("“") > text.count("”") + text.count("„") or text.count("«") > text.count("»") or text.count("$$") % 2:
         return True
+    if left_open(text):
+        return True
     if "</answer>" in low or _END_MARK.search(answer[-40:]):
         return False  # closed by its own mark
     lines = [x for x in text.split("\n") if x.strip()]
@@ -180,6 +211,10 @@ def is_truncated(answer: str, visible: str, model: Model) -> bool:
     end = bare[-1]
     if end in ",;:" or (end in "-–—" and len(bare) > 1 and bare[-2].isalnum()):
         return True
+    if not end.isalnum() or last.endswith(" *"):
+        tail = last[-80:] if last.endswith(" *") and last.count("*") % 2 and not _ITEM.match(last) else bare[-80:]
+        if _OPERATOR.search(tail) and not _PADDED.search(tail):
+            return True
     if not end.isalnum() or _SIGNED.search(bare):
         return False
     found = _WORD.findall(bare)

@@ -28,6 +28,22 @@ def test_rules(prompt, answer, found):
     assert defects(prompt, answer, MODEL) == found
 
 
+@pytest.mark.parametrize("end", ["f(x) = (a +", '{"k": ["a", "b"', "It is (as they say.", "See [the notes.", 'They said: "we go.', "so x = a +", "y=a+", "so 2 *", "x = (1 + 2) /", "so a ->", "so n^", "they left —", "a) one (of two.\nb) two."])
+def test_open_delimiters_and_operators_are_truncated(end):
+    assert defects(PROMPT, f"{GOOD} {end}", MODEL) == ["truncated"]
+
+
+@pytest.mark.parametrize(
+    "end",
+    [
+        "It holds on [0, 1) and (2, 3].", "1) one.\n2) two.", "a) one (of two).\nb) two.", 'It is 5" wide.', '"They go," she said (twice).', "Code `f(` ends.", "```python\nf(\n```", 'The sign "(" opens.', "It rained :( again.", "We use C++", "That is A+", "See https://x.org/",
+        "so \\[ x = \\{1\\} \\]", "| a | b |", "**so it goes.**", "**(so it goes.)**", "The key is c2l4dGVlbg==", "---", '"One.\n\n"Two."',
+    ],
+)
+def test_closed_delimiters_are_whole(end):
+    assert "truncated" not in defects(PROMPT, f"{GOOD} {GOOD}\n{end}", Model([("a", 100, 90), ("c", 100, 90)]))
+
+
 def test_languages():
     assert language("Explica a Ana cómo se relacionan dosis y vendaje.") == "es"
     assert language("Pourquoi le sujet est-il plus important que la matrice ?") == "fr"
