@@ -15,8 +15,10 @@ from rollmill.llm.normal import words
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: A quote is WANTED words of some WINDOW successive words of an item.
 WINDOW, WANTED = 18, 15
-#: Seeds of one item that a quote hits at least, over all masks: 15 words in 5 runs (3 changes and an inserted sentence) still give 5.
-LEAST_HITS = 5
+#: Seeds of one item that a quote hits at least, over all masks: 15 words in up to 7 runs have a run of 3 words.
+LEAST_HITS = 1
+#: How far missing and inserted words may push words from the shift of a hit.
+SLACK = 3
 #: How far an inserted sentence may push the rest of a quote, in words.
 REACH = 48
 #: Items held in memory at once; larger sets are searched in blocks of this size.
@@ -72,21 +74,29 @@ class Seeds:
 
 
 def quoted(item: np.ndarray, text: np.ndarray, shifts: np.ndarray) -> bool:
-    """Whether WANTED of some WINDOW words of the item stand in the text at the given shifts (text minus item position)."""
+    """Whether WANTED of some WINDOW words of the item stand in the text in order, within SLACK of the given shifts (text minus item position)."""
     if len(item) < WANTED:
         return False
     shifts = np.unique(shifts)
-    place = np.arange(len(item))
-    same = np.zeros((len(shifts), len(item)), bool)
+    place, wide = np.arange(len(item)), min(WINDOW, len(item))
     for k, s in enumerate(shifts):
-        at = place + s
-        inside = (at >= 0) & (at < len(text))
-        same[k, inside] = text[at[inside]] == item[inside]
-    for k, s in enumerate(shifts):
-        near = same[k : np.searchsorted(shifts, s + REACH, "right")].any(0)
-        run = np.concatenate([[0], np.cumsum(near)])
-        wide = min(WINDOW, len(item))
-        if (run[wide:] - run[:-wide]).max() >= WANTED:
+        near = shifts[k : np.searchsorted(shifts, s + REACH, "right")]
+        band = np.arange(s - SLACK, near[-1] + SLACK + 1)
+        at = place + band[:, None]
+        same = (text[np.clip(at, 0, len(text) - 1)] == item) & (at >= 0) & (at < len(text))
+        if len(near) > 1:
+            same &= (np.abs(band[:, None] - near) <= SLACK).any(1)[:, None]
+        run = np.concatenate([[0], np.cumsum(same.any(0))])
+        windows = np.flatnonzero(run[wide:] - run[:-wide] >= WANTED)
+        if not len(windows):
+            continue
+        straight = np.concatenate([np.zeros((len(band), 1), int), np.cumsum(same, 1)], 1)
+        if (straight[:, wide:] - straight[:, :-wide]).max() >= WANTED:
+            return True
+        best = np.zeros((len(windows), len(band) + 1), np.int64)  # common subsequence by shift of the last word; the last column is a border
+        for o in range(wide):
+            best[:, :-1] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + same[:, windows + o].T), 1)
+        if best.max() >= WANTED:
             return True
     return False
 
@@ -102,7 +112,7 @@ def find_leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str
     Fixed masks pick three of three or four successive words; the seeds of the items, in sorted arrays that every task holds,
     are joined with those of each text (a map-side hash join: items come in blocks of at most ``BLOCK``, each searched in a
     scan of its own, so the broadcast is bounded). Where a text and an item share at least ``LEAST_HITS`` seeds, the words are
-    compared along the shifts of the hits.
+    aligned (longest common subsequence) in a band around the shifts of the hits.
     """
     spark = df.sparkSession
     corpus = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint"), F.col(text))
@@ -136,10 +146,19 @@ def _search(broadcast, names: list[str]):
             pair = doc * np.int64(len(seeds.items)) + item
             first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
             many = np.diff(np.concatenate([first, [len(pair)]]))
-            out = []
+            out, last, own, there = [], -1, flat[:0], np.zeros(len(seeds.vocabulary) + 1, bool)  # there: the item words of the text; -1 is the spare place
             for f, m in zip(first[many >= LEAST_HITS], many[many >= LEAST_HITS]):
                 d, i = doc[f], item[f]
-                own = flat[starts[d] : starts[d + 1] if d + 1 < len(starts) else None]
+                if d != last:
+                    there[own] = False
+                    last, own = d, flat[starts[d] : starts[d + 1] if d + 1 < len(starts) else None]
+                    there[own] = True
+                known = there[seeds.items[i]]
+                if np.count_nonzero(known) < WANTED:
+                    continue
+                run, wide = np.concatenate([[0], np.cumsum(known)]), min(WINDOW, len(known))
+                if (run[wide:] - run[:-wide]).max() < WANTED:
+                    continue
                 if quoted(seeds.items[i], own, at[f : f + m] - starts[d] - place[f : f + m]):
                     out.append((ids[d], seeds.ids[i]))
             got = np.array(out, np.int64).reshape(-1, 2)

@@ -61,3 +61,37 @@ def test_matches_brute_force_under_substitutions(spark):
             truth.add(i)
         texts.append(" ".join(t))
     assert {i for i, _ in leaks(spark, texts)} == truth
+
+
+def test_short_runs_between_insertions_and_deletions(spark):
+    w = ITEM.split()[:18]
+    given = w[:2] + w[3:9] + ["other"] + w[10:16] + ["inserted"] + w[16:18]  # 16 of 18 words, 12 of them at one shift
+    back = w[:3] + ["inserted"] + w[3:5] + w[6:9] + ["inserted"] + w[9:11] + w[12:15] + ["inserted"] + w[15:17]
+    reversed_runs = w[12:18] + w[6:12] + w[:6]
+    assert {i for i, _ in leaks(spark, [" ".join(t) for t in (given, back, reversed_runs)])} == {0, 1}
+
+
+def test_matches_brute_force_under_insertions_and_deletions(spark):
+    rng = random.Random(5)
+    w = ITEM.split()
+    texts, truth = [], set()
+    for i in range(80):
+        start, t = rng.randrange(len(w) - 17), []
+        gone = set(rng.sample(range(18), rng.randrange(0, 7)))
+        extra = set(rng.sample(range(18), rng.randrange(0, 4)))
+        for k in range(18):
+            t += [f"new{k}"] * (k in extra) + [w[start + k]] * (k not in gone)
+        most = 0
+        for p in range(len(w) - 17):
+            lcs = [0] * (len(t) + 1)
+            for x in w[p : p + 18]:
+                row = [0]
+                for j, y in enumerate(t):
+                    row.append(max(row[-1], lcs[j + 1], lcs[j] + (x == y)))
+                lcs = row
+            most = max(most, lcs[-1])
+        if most >= 15:
+            truth.add(i)
+        texts.append(" ".join(t))
+    assert 20 < len(truth) < 70
+    assert {i for i, _ in leaks(spark, texts)} == truth
