@@ -1,4 +1,4 @@
-"""Groups of near-duplicate records: multi-index Hamming join on sparse parity signatures, exact check, components."""
+"""Groups of near-duplicate records: multi-index Hamming join on weighted signatures, exact check, components."""
 
 from __future__ import annotations
 
@@ -9,22 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.operators.components import connected_components
-from rollmill.plans.bitmap import bitmap, with_maybe
+from rollmill.llm.components import connected_components
+from rollmill.llm.bitmap import bitmap, with_maybe
 from rollmill.plans.store import discard, written
 
-#: Slots of the hashed document-frequency table (three bits each in the broadcast: 3 MB).
+#: Slots of the hashed document-frequency table (four bits each in the broadcast: 4 MB).
 SLOTS = 1 << 23
-#: Share of the texts up to which an element is informative, by level; absolute floor below it.
-LEVEL_SHARE = (0.002, 0.01, 0.05, 0.25, 1.0)
-LEVEL_FLOOR = 8
-#: Chunks of a signature, by level. One error a chunk is enumerated, so distances up to 2 * chunks - 1 are all found.
-LEVEL_CHUNKS = (8, 10, 12, 16, 20)
-#: A text uses the levels from the first at which it has so many informative elements to the first at which it has plenty, so
-#: that texts which are alike, but on different sides of a border, still have a level in common.
-ENOUGH, PLENTY = 5, 8
-#: Bits of the folded signature that is compared when two chunks meet.
+#: An element in 1 / 2 ** q of the texts has the weight 2 ** (SLOPE * q), q being MOST_CODE at most. The steeper, the smaller the
+#: buckets, but the more a signature hangs on the few rarest elements of a text.
+MOST_CODE, SLOPE = 10, 0.75
+#: Chunks of a signature, and bits that are set in each.
+CHUNKS, SET_BITS = 6, 4
+#: Signatures closer than this (in bits) have, by the pigeonhole principle, a chunk with at most one error (two bits).
+REACH = 4 * CHUNKS
+#: Bits of the folded signature that is compared when two chunks meet, in words of 64.
 FOLD_WORDS = 2
+#: The least threshold at which texts that are linked, but not equal, share three elements.
+LEAST_THRESHOLD = 0.75
 
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -64,9 +65,9 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planes(df: DataFrame) -> np.ndarray:
-    """Level code of every slot: 0 for slots met in fewer than two texts, else 1 + its level. At most 3 MB are collected."""
+    """Code of every slot: 0 for slots met in fewer than two texts, else 1 + its rareness. At most 4 MB are collected."""
     codes = np.zeros(SLOTS, np.uint8)
-    bits = df.select("slot", F.explode(F.array_compact(F.array(*[F.when(F.col("code").bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in range(3)]))).alias("plane"))
+    bits = df.select("slot", F.explode(F.array_compact(F.array(*[F.when(F.col("code").bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in range(4)]))).alias("plane"))
     at = F.col("slot") + F.lit(1)
     rows = bits.groupBy("plane", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map")).collect()
     for r in rows:
@@ -76,8 +77,41 @@ def _planes(df: DataFrame) -> np.ndarray:
     return codes
 
 
+def _folded(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The parity signature of all elements of each text, folded to FOLD_WORDS words."""
+    bit, ends, out = _mix(flat ^ np.uint64(77)), np.cumsum(size), []
+    for w in range(FOLD_WORDS):
+        here = (bit >> np.uint64(6)) % np.uint64(FOLD_WORDS) == w
+        own = np.where(here, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(own)]) if len(own) else np.zeros(1, np.uint64)
+        out.append(run[ends] ^ run[ends - size])
+    return out
+
+
+def _chunk(flat: np.ndarray, doc: np.ndarray, weight: np.ndarray, total: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One chunk of the signatures: (text, rank, position) of its set bits, which are SET_BITS elements drawn by weight.
+
+    Every element has an exponential waiting time with its weight as rate, the same in all texts; the first SET_BITS win.
+    """
+    hashed = _mix(flat ^ _mix(np.full(1, 1000 + number, np.uint64)))
+    wait = -np.log(((hashed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
+    early = wait * total[doc] <= 4.0 * SET_BITS  # nearly always holds the winners; where it doesn't, all elements are sorted
+    few = np.bincount(doc[early], minlength=len(total)) < SET_BITS
+    if few.any():
+        early |= few[doc]
+    d, t, h = doc[early], wait[early], hashed[early]
+    order = np.lexsort((h, t, d))
+    d, h = d[order], h[order]
+    place = np.arange(len(d))
+    first = np.ones(len(d), bool)
+    first[1:] = d[1:] != d[:-1]
+    rank = place - np.maximum.accumulate(np.where(first, place, 0))
+    won = rank < SET_BITS
+    return d[won], rank[won], h[won]
+
+
 def _keys(codes_of):
-    """Signatures to index rows: (key, whole or one element short, id, size, folded signature)."""
+    """Signatures to index rows: (key, id, size, folded signature), one for every chunk and every bit taken out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codes_of.value
@@ -85,44 +119,31 @@ def _keys(codes_of):
             size = np.asarray(batch.column(1), dtype=np.int64)
             ids = np.asarray(batch.column(0))
             flat = np.asarray(batch.column(2).flatten()).view(np.uint64)
-            doc = np.repeat(np.arange(len(size)), size)
-            fold = []
-            bit = _mix(flat ^ np.uint64(77))
-            for w in range(FOLD_WORDS):
-                own = np.where((bit >> np.uint64(6)) % np.uint64(FOLD_WORDS) == w, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-                run_ = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(own)]) if len(own) else np.zeros(1, np.uint64)
-                ends = np.cumsum(size)
-                fold.append(run_[ends] ^ run_[ends - size])
-            level = codes[(_mix(flat) % np.uint64(SLOTS)).astype(np.int64)].astype(np.int64) - 1  # -1: in no other text
-            counts = np.stack([np.bincount(doc[(level >= 0) & (level <= k)], minlength=len(size)) for k in range(len(LEVEL_SHARE))])
-            enough = counts >= ENOUGH
-            start = np.where(enough.any(0), enough.argmax(0), len(LEVEL_SHARE) - 1)
-            plenty = counts >= PLENTY
-            stop = np.where(plenty.any(0), plenty.argmax(0), len(LEVEL_SHARE) - 1)
-            out = []
-            for k, chunks in enumerate(LEVEL_CHUNKS):
-                use = (start <= k) & (k <= np.maximum(start, stop))
-                pick = (level >= 0) & (level <= k) & use[doc]
-                e, d = flat[pick], doc[pick]
-                if not len(e):
-                    continue
-                chunk = ((_mix(e ^ np.uint64(5)) >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
-                cell = d * chunks + chunk
-                order = np.argsort(cell, kind="stable")
-                cell, value = cell[order], _mix(e[order] ^ np.uint64(11))
-                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                many = np.diff(np.concatenate([first, [len(cell)]]))
-                total = np.add.reduceat(value, first)
-                base = (np.uint64(1000 * k) + (cell % chunks).astype(np.uint64)) * _GOLD
-                out.append((_mix(total + base[first]), np.zeros(len(first), np.int8), cell[first] // chunks))
-                short = np.repeat(many, many) > 1
-                out.append((_mix(np.repeat(total, many) - value + base)[short], np.ones(int(short.sum()), np.int8), (cell // chunks)[short]))
-            if out:
-                key, kind, d = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(kind), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), *[pa.array(x[d].view(np.int64)) for x in fold]],
-                    names=["key", "kind", "id", "n", *[f"w{i}" for i in range(FOLD_WORDS)]],
-                )
+            fold = _folded(flat, size)
+            code = codes[(_mix(flat) % np.uint64(SLOTS)).astype(np.int64)]
+            known = code > 0  # the others are in no other text
+            doc, flat = np.repeat(np.arange(len(size)), size)[known], flat[known]
+            weight = np.exp2(SLOPE * (code[known] - 1.0))
+            total = np.bincount(doc, weights=weight, minlength=len(size))
+            keys, docs = [], []
+            for number in range(CHUNKS):
+                d, rank, h = _chunk(flat, doc, weight, total, number)
+                bits = np.zeros((len(size), SET_BITS), np.uint64)
+                bits[d, rank] = _mix(h ^ np.uint64(11))
+                many = np.bincount(d, minlength=len(size))
+                whole = bits.sum(1) + np.full(1, number, np.uint64) * _GOLD
+                for out in range(SET_BITS):
+                    there = np.flatnonzero(many == SET_BITS)
+                    keys.append(_mix(whole[there] - bits[there, out]))
+                    docs.append(there)
+                there = np.flatnonzero(many == SET_BITS - 1)
+                keys.append(_mix(whole[there]))
+                docs.append(there)
+            key, d = np.concatenate(keys), np.concatenate(docs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), *[pa.array(x[d].view(np.int64)) for x in fold]],
+                names=["key", "id", "n", *[f"w{i}" for i in range(FOLD_WORDS)]],
+            )
 
     return run
 
@@ -135,14 +156,12 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
     """
     w = [f"w{i}" for i in range(FOLD_WORDS)]
     # Both sides are renamed alike: only then are their plans equal below the join, and the keys are made and shuffled once.
-    one = keys.select("key", F.col("kind").alias("kind1"), F.col("id").alias("id1"), F.col("n").alias("n1"), *[F.col(x).alias(x + "a") for x in w])
-    other = keys.select("key", F.col("kind").alias("kind2"), F.col("id").alias("id2"), F.col("n").alias("n2"), *[F.col(x).alias(x + "b") for x in w])
+    one = keys.select("key", F.col("id").alias("id1"), F.col("n").alias("n1"), *[F.col(x).alias(x + "a") for x in w])
+    other = keys.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), *[F.col(x).alias(x + "b") for x in w])
     far = sum((F.bit_count(F.col(x + "a").bitwiseXOR(F.col(x + "b"))) for x in w), F.lit(0))
     reach = (1 - threshold) / (1 + threshold)
-    # One side whole: written over both sides at once, so that it isn't pushed below the shuffle, which both sides share.
-    one_whole = (F.col("kind1") * 2 + F.col("kind2") < 2) & (F.when(F.col("kind1") == F.col("kind2"), F.col("id1") < F.col("id2")).otherwise(F.col("id1") != F.col("id2")))
     near = (far <= F.lit(reach) * (F.col("n1") + F.col("n2")) + F.lit(1e-9)) & (F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2") - F.lit(1e-9))
-    return one.join(other, "key").where(one_whole & near).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    return one.join(other, "key").where((F.col("id1") < F.col("id2")) & near).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75) -> DataFrame:
@@ -155,17 +174,19 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
 
     1. Words become 64-bit elements, the k-th copy of a word being its own element, so that similarity is that of sets.
        Records with equal elements form a class; only one of each goes on, so copies cost nothing, however many.
-    2. A counting table (``SLOTS`` hashed slots, all classes counted) tells elements met in a single class, which can't
-       be shared, and sorts the rest by frequency into levels. The signature of a class is the parity signature of its
-       informative elements: a sparse string of bits, one for each element.
-    3. Multi-index Hamming join: the signature is split into chunks by hash; each chunk is filed whole and with each
-       single bit taken out. Two signatures that differ in at most 2 * chunks - 1 bits have, by the pigeonhole
-       principle, a chunk with at most one error, and meet there (unless the only such chunk is empty). Texts whose
-       elements are all frequent, as within a very large group, go to a level with more frequent elements.
+    2. A counting table (``SLOTS`` hashed slots, all classes counted) gives each element a weight by its share of the
+       classes, the larger the rarer it is; elements met in a single class can't be shared
+       and are left out. The signature of a class is a string of bits in ``CHUNKS`` chunks of 2 ** 64; in each, the bits
+       of ``SET_BITS`` elements are set that are drawn by weight, by the same draw in all texts. Its size, and the chance
+       that two texts of some similarity agree in a chunk, don't depend on the length of the texts.
+    3. Multi-index Hamming join: each chunk is filed once for every bit taken out of it. Chunks with at most one error
+       (a bit exchanged) agree in one of these keys, so by the pigeonhole principle *all* pairs of signatures at a
+       distance under ``REACH`` bits meet. At similarity 0.75 of the drawn elements, a chunk has at most one error with
+       probability 0.82, and all ``CHUNKS`` fail with probability 0.00004. A key holds three elements, mostly rare ones.
     4. Pairs that meet are tested on folded signatures, then on the elements themselves; components of the links are the groups.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"threshold must be in [{LEAST_THRESHOLD}, 1]")
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     hashed = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.transform(words, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") > 0)
     records = written(hashed.mapInArrow(_elements, "id bigint, f1 bigint, f2 bigint, n int, e array<bigint>"), "records")
@@ -180,15 +201,13 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
 
     spark = df.sparkSession
     total = reps.count()
-    codes_of = spark.sparkContext.broadcast(_planes(_slot_levels(reps, total)))
-    keys = reps.mapInArrow(_keys(codes_of), "key bigint, kind tinyint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
+    codes_of = spark.sparkContext.broadcast(_planes(_slot_codes(reps, total)))
+    keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
     pairs = _candidates(keys, threshold)
     pairs = written(pairs, "candidates")
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
-    # 32 bits of an element tell it from the few hundred others of a pair (a mix-up has odds of about 1 in 100 000 a pair).
-    short = F.transform("e", lambda x: F.call_function("shiftright", x, F.lit(32)).cast("int"))
-    left = involved.select(F.col("id").alias("a"), short.alias("ea"))
-    right = involved.select(F.col("id").alias("b"), short.alias("eb"))
+    left = involved.select(F.col("id").alias("a"), F.col("e").alias("ea"))
+    right = involved.select(F.col("id").alias("b"), F.col("e").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
     enough = F.col("s") >= F.lit(threshold) * (F.size("ea") + F.size("eb") - F.col("s")) - F.lit(1e-9)
     links = written(pairs.join(left, "a").join(right, "b").withColumn("s", shared).where(enough).select("a", "b"), "links")
@@ -200,13 +219,11 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     )
 
 
-def _slot_levels(reps: DataFrame, total: int) -> DataFrame:
+def _slot_codes(reps: DataFrame, total: int) -> DataFrame:
     """``slot`` and ``code`` of every slot that at least two classes use. Counted over all classes, combined before the shuffle."""
     slots = reps.mapInArrow(_slots, "slot int, c int").groupBy("slot").agg(F.sum("c").alias("c")).where(F.col("c") >= 2)
-    code = F.lit(len(LEVEL_SHARE))
-    for k in range(len(LEVEL_SHARE) - 2, -1, -1):
-        code = F.when(F.col("c") <= max(LEVEL_FLOOR, LEVEL_SHARE[k] * total), F.lit(k + 1)).otherwise(code)
-    return slots.select("slot", code.alias("code"))
+    rare = F.least(F.lit(MOST_CODE), F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(float(max(1, total))) / F.col("c")))))
+    return slots.select("slot", (rare + 1).cast("int").alias("code"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

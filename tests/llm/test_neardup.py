@@ -4,6 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rollmill.llm.bitmap import bitmap, with_maybe
+from rollmill.llm.components import connected_components
 from rollmill.llm.neardup import near_duplicate_pairs, near_duplicates
 
 
@@ -59,6 +65,37 @@ def test_groups_match_brute_force(spark):
     assert all(r.n_links > 0 for r in out if r.group_id != r.class_id)
 
 
+@pytest.mark.parametrize("zipf", [False, True])
+@pytest.mark.parametrize("length", [60, 300, 1000, 5000])
+def test_recall_does_not_depend_on_length(spark, length, zipf):
+    """Pairs with an eighth of the words changed, of which brute force takes those at 0.75 or above."""
+    rng = np.random.default_rng(length)
+    vocabulary = 30_000
+    rate = 1.0 / np.arange(1, vocabulary + 1) if zipf else np.ones(vocabulary)
+    draw = lambda n: rng.choice(vocabulary, n, p=rate / rate.sum())
+    rows, true = [], 0
+    for family in range(120):
+        one = draw(length)
+        other = one.copy()
+        at = rng.random(length) < 0.125
+        other[at] = draw(int(at.sum()))
+        a, b = Counter(one.tolist()), Counter(other.tolist())
+        if (a & b).total() < 0.75 * (a | b).total():
+            continue
+        true += 1
+        rows += [(2 * family, " ".join(f"w{w}" for w in one)), (2 * family + 1, " ".join(f"w{w}" for w in other))]
+    got = near_duplicates(spark.createDataFrame(rows, "id bigint, text string").repartition(4), "id", "text").collect()
+    group = {r.id: r.group_id for r in got}
+    found = sum(group[i] == group[i + 1] for i in group if i % 2 == 0)
+    assert true >= 60 and found >= 0.97 * true, (found, true)
+    assert len(set(group.values())) >= true  # nothing else is joined
+
+
+def test_threshold_below_the_reach_of_the_index(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a")], "id bigint, text string"), "id", "text", 0.7)
+
+
 def test_copies_form_a_class_however_many(spark):
     rows = [(i, "one two three four five six seven") for i in range(300)] + [(1000, "ONE, two three four five six seven!"), (1001, "other words entirely here")]
     out = {r.id: r for r in near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()}
@@ -76,3 +113,19 @@ def test_pairs_and_empty(spark):
     assert near_duplicate_pairs(spark.createDataFrame([], schema), "id", "text").count() == 0
     got = near_duplicate_pairs(spark.createDataFrame([(3, "x y"), (1, "y x"), (2, "x y"), (4, "z")], schema), "id", "text").collect()
     assert {tuple(r) for r in got} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (10, 11), (11, 10), (5, 5), (None, 7)] + [(i, i + 1) for i in range(100, 140)]
+    for n in (1, 5):
+        got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint").repartition(n)).collect()}
+        assert got[3] == 1 and got[11] == 10 and got[5] == 5 and got[140] == 100 and 7 not in got
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_bitmap_never_misses(spark):
+    rows = spark.range(2000)
+    bits = bitmap(rows.where("id % 5 = 0"), F.col("id"))
+    out = with_maybe(rows, F.col("id"), bits)
+    assert out.where("id % 5 = 0 and not maybe").count() == 0 and out.where("maybe").count() < 420
+    assert with_maybe(rows, F.col("id"), bitmap(rows.limit(0), F.col("id"))).where("maybe").count() == 0
