@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.normal import plain
 from rollmill.llm.pairs import FUNCTION_WORDS
-from rollmill.plans.store import written
+from rollmill.plans.store import discard, written
 
 #: Hash slots of terms.
 SLOTS = 1 << 21
-#: A term takes part if between these shares of all documents have it (and at least MIN_DOCUMENTS).
-LEAST_SHARE, MOST_SHARE, MIN_DOCUMENTS = 0.003, 0.3, 3
-#: Within a language, terms in at least this share of its documents are generic: they belong to the background only.
-GENERIC_SHARE = 0.2
+#: A term takes part if, in some language, at least this share of its documents has it (and at least MIN_DOCUMENTS of them): a rare
+#: language has its own terms. So at most (terms of a document) / LEAST_SHARE terms of a language are collected.
+LEAST_SHARE, MIN_DOCUMENTS = 0.001, 3
+#: Terms in at least this share of a language's documents are generic, and belong to the background only, unless labelled documents of
+#: some subject have them in excess: LIFT times as often as all documents.
+GENERIC_SHARE, LIFT = 0.2, 1.5
 #: Labelled documents that seed the factors, at most (the first by hash of their id).
 MAX_LABELLED = 200_000
 #: Alternating updates; inner steps for the document side.
-ROUNDS, INNER = 5, 12
+ROUNDS, INNER = 3, 12
+#: How firmly the background components are held to their seeds, so that they don't turn into half of some subject.
+HOLD = 0.8
 #: A run of fewer words is a mark (a role, a number, a verdict), no sentence.
 SENTENCE_WORDS = 3
-#: Evidence: terms count from this posterior on, and a sentence treats a subject from this sum on.
-TERM_POSTERIOR, SENTENCE_EVIDENCE = 0.3, 0.6
+#: A sentence treats the subject to which most of its terms belong, if that is more than this share of them.
+TERM_SHARE = 0.08
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\s\"”»)\]']+|\n+")
@@ -112,18 +116,22 @@ class Terms:
     def n(self) -> int:
         return self.by_block.shape[1]
 
-    def generic(self) -> np.ndarray:
+    def frequent(self) -> np.ndarray:
         return self.by_block >= GENERIC_SHARE * np.maximum(1, self.documents)[:, None]
 
 
 def _terms(tokens: DataFrame) -> Terms:
-    """Counted over all documents. At most (terms a document) / LEAST_SHARE rows come to the driver."""
+    """Counted over all documents; the terms that take part come to the driver (see LEAST_SHARE)."""
     counts = tokens.select("block", "terms").mapInArrow(_count, "block int, slot int, c bigint")
-    by_slot = written(counts.groupBy("slot").agg(*[F.sum(F.when(F.col("block") == b, F.col("c")).otherwise(0)).alias(f"b{b}") for b in range(N_BLOCKS)]), "terms")
-    total = sum((F.col(f"b{b}") for b in range(N_BLOCKS)), F.lit(0))
-    documents = np.array([list(r)[1:] for r in by_slot.where(F.col("slot") == -1).collect()] or [[0] * N_BLOCKS], np.int64)[0]
-    n = int(documents.sum())
-    rows = by_slot.where((F.col("slot") >= 0) & (total >= max(MIN_DOCUMENTS, LEAST_SHARE * n)) & (total <= max(MIN_DOCUMENTS, MOST_SHARE * n))).orderBy("slot").collect()
+    per_block = [F.sum(F.when(F.col("block") == b, F.col("c")).otherwise(0)).alias(f"b{b}") for b in range(N_BLOCKS)]
+    by_slot = written(counts.groupBy("slot").agg(*per_block), "terms")
+    found = [list(r)[1:] for r in by_slot.where(F.col("slot") == -1).collect()]
+    documents = np.array(found or [[0] * N_BLOCKS], np.int64)[0]
+    often = F.lit(False)
+    for b in range(N_BLOCKS):
+        often = often | (F.col(f"b{b}") >= max(MIN_DOCUMENTS, LEAST_SHARE * int(documents[b])))
+    rows = by_slot.where((F.col("slot") >= 0) & often).orderBy("slot").collect()
+    discard(by_slot)
     return Terms(np.array([r.slot for r in rows], np.int64), np.array([list(r)[1:] for r in rows], np.int64).reshape(-1, N_BLOCKS).T, documents)
 
 
@@ -178,13 +186,9 @@ def _sums(broadcast, n_subjects: int):
                     left[has, :n_subjects] = own[has] / own[has].sum(1, keepdims=True)
                     left[:, n_subjects] = 1.0
                 else:
-                    h, gram = factors[b], factors[b] @ factors[b].T
-                    along = np.stack([np.bincount(r, weights=v * h[j][c], minlength=len(mine)) for j in range(k)], 1)
                     mask = np.ones((len(mine), k))
                     mask[has, :n_subjects] = np.where(own[has] > 0, 1.0, 0.1)  # labels anchor, but may miss subjects
-                    left = along * mask / np.maximum(np.diag(gram), 1e-12) + 1e-12
-                    for _ in range(INNER):
-                        left *= along / np.maximum(left @ gram, 1e-12)
+                    left = _solve(factors[b], r, c, v, len(mine), mask)
                 for j in range(k):
                     if left[:, j].any():
                         total[b, j, :n_terms] += np.bincount(c, weights=v * left[r, j], minlength=n_terms)
@@ -210,30 +214,31 @@ def _gather(matrix: DataFrame, factors: np.ndarray | None, n_terms: int, n_subje
 def _seed(sums: np.ndarray, terms: Terms, n_subjects: int, about: np.ndarray) -> np.ndarray:
     """First factors: by block a component for each subject, one for generic terms and one for what belongs to no subject."""
     h = np.zeros((N_BLOCKS, n_subjects + 2, terms.n))
-    generic = terms.generic()
+    frequent = terms.frequent()
     for b in range(N_BLOCKS):
         n = max(1, terms.documents[b])
-        content = ~generic[b]
         base = sums[b, n_subjects, : terms.n] / n
         labelled = sums[b, :n_subjects, terms.n]
         rate = sums[b, :n_subjects, : terms.n] / np.maximum(labelled, 1e-9)[:, None]
-        lift = np.maximum(0, rate - 1.5 * base) * content
+        generic = frequent[b] & ~(rate > LIFT * base).any(0)
+        content = ~generic
+        lift = np.maximum(0, rate - LIFT * base) * content
         lift = np.where((labelled > 0)[:, None], lift, about * content * base)
         lift /= np.maximum(lift.sum(1, keepdims=True), 1e-12)
         spread = base * content / max(base.sum(), 1e-12)
         h[b, :n_subjects] = np.where(lift.sum(1, keepdims=True) > 0, lift + 0.02 * spread, 0)
-        h[b, n_subjects] = np.where(generic[b], terms.by_block[b] / n, 0)
+        h[b, n_subjects] = np.where(generic, terms.by_block[b] / n, 0)
         h[b, n_subjects + 1] = base * content
         h[b] /= np.maximum(h[b].sum(1, keepdims=True), 1e-12)
     return h
 
 
 def fit(matrix: DataFrame, terms: Terms, n_subjects: int, about: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior of every subject given a term (subjects x terms), from seeded non-negative alternating updates."""
+    """Factors (blocks x components x terms) from seeded non-negative alternating updates; the last block, of no language, has those of all."""
     if not terms.n:
-        return np.zeros((n_subjects, 0))
+        return np.zeros((N_BLOCKS, n_subjects + 2, 0))
     h = _seed(_gather(matrix, None, terms.n, n_subjects), terms, n_subjects, about)
-    mass = np.ones(h.shape[:2])
+    first, mass = h[:, n_subjects:].copy(), np.ones(h.shape[:2])
     for _ in range(rounds):
         sums = _gather(matrix, h, terms.n, n_subjects)
         for b in range(N_BLOCKS):
@@ -243,32 +248,60 @@ def fit(matrix: DataFrame, terms: Terms, n_subjects: int, about: np.ndarray, rou
             scale = h[b].sum(1)
             mass[b] = scale * np.sqrt(np.maximum(np.diag(products), 0))
             h[b] /= np.maximum(scale, 1e-12)[:, None]
+            h[b, n_subjects:] += HOLD * (first[b] - h[b, n_subjects:])
     joint = (h * mass[:, :, None]).sum(0)
-    return joint[:n_subjects] / np.maximum(joint.sum(0), 1e-300)
+    h[-1] = joint / np.maximum(joint.sum(1, keepdims=True), 1e-12)
+    return h
+
+
+def _solve(h: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, mask: np.ndarray | None = None) -> np.ndarray:
+    """The document side: non-negative weights of the components for ``n`` sparse rows, by multiplicative updates with ``h`` fixed."""
+    gram = h @ h.T
+    along = np.stack([np.bincount(row, weights=value * part[column], minlength=n) for part in h], 1)
+    left = along / np.maximum(np.diag(gram), 1e-12) + 1e-12
+    if mask is not None:
+        left = left * mask
+    for _ in range(INNER):
+        left *= along / np.maximum(left @ gram, 1e-12)
+    return left
 
 
 def _shares(broadcast, names: list[str], id: str):
+    """Every document is solved on the factors of its language; its mixture shares out its terms, and those of a sentence decide."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, terms = broadcast.value
-        posterior = np.where(posterior >= TERM_POSTERIOR, posterior, 0.0)
+        factors, terms = broadcast.value
         for batch in batches:
-            lengths, doc = _flat(batch.column(2))
-            found, _ = _flat(batch.column(1))
+            block_of = np.asarray(batch.column(1))
+            lengths, doc = _flat(batch.column(3))
+            found, _ = _flat(batch.column(2))
             sentence = np.repeat(np.arange(len(lengths)), lengths)
             column = terms.column[found].astype(np.int64)
             keep = column >= 0
             cell = np.unique(sentence[keep] * np.int64(max(1, terms.n)) + column[keep])
             sentence, column = cell // max(1, terms.n), cell % max(1, terms.n)
-            some = posterior[:, column].any(0) if terms.n else np.zeros(0, bool)
-            sentence, column = sentence[some], column[some]
-            evidence = np.stack([np.bincount(sentence, weights=posterior[s, column], minlength=len(lengths)) for s in range(len(names))], 1) if terms.n else np.zeros((len(lengths), len(names)))
-            best = evidence.argmax(1) if len(lengths) else np.zeros(0, np.int64)
-            treats = evidence[np.arange(len(lengths)), best] >= SENTENCE_EVIDENCE
+            belongs = np.zeros((len(lengths), len(names)))
+            for b in np.unique(block_of):
+                at = np.flatnonzero(block_of[doc[sentence]] == b)
+                if not len(at):
+                    continue
+                own, row = np.unique(doc[sentence[at]], return_inverse=True)
+                mixture = _solve(factors[b], row, column[at], terms.idf[column[at]], len(own))
+                part = mixture[row] * factors[b][:, column[at]].T
+                part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+                for k in range(len(names)):
+                    belongs[:, k] += np.bincount(sentence[at], weights=part[:, k], minlength=len(lengths))
+            belongs /= np.maximum(1, np.bincount(sentence, minlength=len(lengths)))[:, None]
+            best = belongs.argmax(1) if len(lengths) else np.zeros(0, np.int64)
+            best = np.where(belongs[np.arange(len(lengths)), best] > TERM_SHARE, best, -1)
+            treats = best >= 0
             number = np.bincount(doc, minlength=batch.num_rows)
             cell, count = np.unique(doc[treats] * np.int64(len(names)) + best[treats], return_counts=True)
             d, s = cell // len(names), cell % len(names)
+            subject = pa.array(np.array(names, object)[s].tolist(), pa.string())
+            share = pa.array(count / np.maximum(1, number[d]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(d)), pa.array(np.array(names, object)[s].tolist(), pa.string()), pa.array(count.astype(np.int32)), pa.array(number[d].astype(np.int32)), pa.array(count / np.maximum(1, number[d]))],
+                [batch.column(0).take(pa.array(d)), subject, pa.array(count.astype(np.int32)), pa.array(number[d].astype(np.int32)), share],
                 names=[id, "subject", "n_sentences", "of_sentences", "share"],
             )
 
@@ -288,7 +321,9 @@ def subject_shares(documents: DataFrame, id: str, text: str, subjects: DataFrame
        subject, seeded with the terms that labelled documents of the subject have in excess and anchored by their labels, and two for what
        belongs to no subject. A round is one pass over the matrix: every task solves its documents and adds up what the factor side needs;
        sums of blocks x components x terms come to the driver, whatever the number of documents.
-    3. The factors give each term's posterior over subjects; a sentence treats the subject with most evidence, if that is enough.
+    3. The mixtures are read off the document side: every document is solved on the factors of its language, and its weights on the
+       components share out its terms among them (weight times factor). A sentence treats the subject that most of its terms belong to,
+       if that is more than ``TERM_SHARE`` of them; so a lone subject word in a document about something else counts for little.
     """
     spark = documents.sparkSession
     named = subjects.where(F.col("subject").isNotNull()).select("subject", "about").distinct().orderBy("subject").collect()  # a fixed, small table
@@ -313,6 +348,7 @@ def subject_shares(documents: DataFrame, id: str, text: str, subjects: DataFrame
             c = terms.column[zlib.crc32(w.encode()) % SLOTS]
             if c >= 0 and w not in _BLOCK_OF:
                 about[k, c] = 1.0
-    posterior = fit(matrix, terms, len(names), about, rounds)
-    model = spark.sparkContext.broadcast((posterior, terms))
-    return tokens.select("id", "terms", "lengths").mapInArrow(_shares(model, names, id), f"`{id}` {type_of_id}, subject string, n_sentences int, of_sentences int, share double")
+    factors = fit(matrix, terms, len(names), about, rounds)
+    discard(matrix)
+    model = spark.sparkContext.broadcast((factors, terms))
+    return tokens.select("id", "block", "terms", "lengths").mapInArrow(_shares(model, names, id), f"`{id}` {type_of_id}, subject string, n_sentences int, of_sentences int, share double")

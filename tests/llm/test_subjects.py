@@ -47,3 +47,31 @@ def test_empty_tables(spark):
     assert subject_shares(none, "id", "text", subjects, labels).count() == 0
     some = spark.createDataFrame([(1, "the court and the jury met here. " * 3)], "id bigint, text string")
     subject_shares(some, "id", "text", subjects, labels).collect()
+
+
+def test_rare_language_and_rare_subject_reach_their_documents(spark):
+    """A language with one document in a hundred, and a subject with one in a hundred of the other language's, by held-out labels."""
+    rng = random.Random(9)
+    terms = {s: [f"{s}{LETTERS[k // 16]}a{LETTERS[k % 16]}" for k in range(24)] for s in ("law", "music", "sport", "droit", "musique", "golf")}
+    english = lambda s: f"In practice the {rng.choice(terms[s])} depends on the {rng.choice(terms[s])} and a {rng.choice(terms[s])}."
+    french = lambda s: f"Dans la pratique le {rng.choice(terms[s])} est avec la {rng.choice(terms[s])} et pour une {rng.choice(terms[s])}."
+    rows, truth = [], {}
+    for i in range(6000):
+        if i % 100 == 0:
+            own, name = rng.choice([("droit", "law"), ("musique", "music")])
+            text = " ".join(french(own) for _ in range(6))
+        else:
+            own = name = "golf" if i % 100 == 1 else rng.choice(["law", "music", "sport"])
+            text = " ".join(english(own) for _ in range(6))
+        rows.append((i, f"{text} The {rng.choice(FILL)} was near the {rng.choice(FILL)}." if i % 100 else text))
+        truth[i] = name
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, truth[i]) for i in truth if i // 100 % 2 == 0], "id bigint, subject string")
+    subjects = spark.createDataFrame([(s, None) for s in ("law", "music", "sport", "golf")], "subject string, about string")
+    got = {}
+    for r in subject_shares(docs, "id", "text", subjects, labels).where("share >= 0.25").collect():
+        got.setdefault(r.id, set()).add(r.subject)
+    for rest in (0, 1, 50):
+        held_out = [i for i in truth if i % 100 == rest and i // 100 % 2]
+        wrong = [(i, got.get(i), truth[i]) for i in held_out if got.get(i) != {truth[i]}]
+        assert len(wrong) <= 0.1 * len(held_out), wrong
