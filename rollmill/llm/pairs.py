@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-import bisect
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.plans.store import written
+
 #: In the order of the rules.
 DEFECTS = ("empty", "copied", "truncated", "refusal", "language")
-#: Words of the ending model: the most frequent ones of all answers.
-MODEL_WORDS = 20_000
+#: A word met so often tells by its endings whether a text may stop after it; a rarer one may be the beginning of a word met so many times as often.
+KNOWN, MUCH_MORE = 20, 20
+#: Shares of a word's occurrences that end a sentence: below the first a text doesn't stop there, above the second it does.
+SELDOM_LAST, MOSTLY_LAST = 0.02, 0.8
+#: So many words from a capital letter on are a sentence, which may end without its full stop in a number only.
+SENTENCE_WORDS = 8
+#: A letter of a script without an alphabet says as much as so many letters.
+IDEOGRAM = 3
 
 # Words for "no value".
 NO_VALUE = frozenset("null none nil nan na n/a n/d undefined empty blank missing nichts leer keine keiner k.a. nada ninguno ninguna vacío vacio rien aucun aucune vide".split()) | {"no value", "no answer", "not available", "keine antwort", "sin respuesta", "pas de réponse"}
@@ -26,19 +35,35 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des du de et est sont a à au aux en dans par pour avec sur qui que qu quoi dont ne pas plus moins ce cet cette ces se s il elle ils elles on nous vous je tu son sa ses leur leurs mais ou où donc car si comme quand sans sous entre depuis pendant lors après avant selon celui même tout toute tous être été fait doit devrait savoir peut faut reste beaucoup presque personne aussi assez près environ comment pourquoi quel quelle",
     "es": "el la los las un una unos unas de del al a y e o u es son era fue en con por para que se su sus lo le les no sí más menos muy como cómo cuando cuándo donde quien quién qué cuál entre sin sobre hasta desde durante según antes después pero aunque porque si ya hay ha han ser está están este esta estos estas ese esa eso aquí todo toda todos casi nadie otra otro mismo así cuenta hacen debe debería saber pues también al tras ni",
 }
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ANY_FUNCTION = frozenset().union(*_SETS.values())
-_LANGUAGES_OF: dict[str, tuple[str, ...]] = {w: tuple(k for k, s in _SETS.items() if w in s) for w in _ANY_FUNCTION}
+# Function words of further languages in the same script.
+MORE_FUNCTION_WORDS = {
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai agli alle da dal dalla in nel nella nei con su sul sulla per tra fra e ed o ma se che chi cui non più è sono era essere stato ha hanno avere questo questa questi queste quello quella come quando dove perché anche si ci ne mi ti suo sua loro molto tutto ogni dopo prima senza può possono così già ancora",
+    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas por pelo pela para com sem sob sobre entre e ou mas se que quem qual não mais é são era foi ser estar está ter tem há isto isso este esta esse essa aquele como quando onde porque também já ainda muito todo toda seu sua lhe nós eles elas você até depois antes pode podem assim ao à aos às",
+    "nl": "de het een en van in is dat op te zijn voor met die niet aan er om ook als dan maar bij of uit nog naar heeft hebben had was waren werd worden wordt door over deze dit ze zij hij wij je u kan kunnen zou zal wel geen meer veel tot hun wat waar wie hoe waarom onder tussen zonder na omdat",
+}
+_SETS = {k: frozenset(v.split()) for k, v in {**FUNCTION_WORDS, **MORE_FUNCTION_WORDS}.items()}
+_ANY_FUNCTION = frozenset().union(*(_SETS[k] for k in FUNCTION_WORDS))
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {w: tuple(k for k, s in _SETS.items() if w in s) for w in frozenset().union(*_SETS.values())}
 
 # Names of the languages in each of them.
 LANGUAGE_NAMES = {
-    "english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "ingles": "en",
-    "german": "de", "deutsch": "de", "allemand": "de", "alemán": "de", "aleman": "de",
-    "french": "fr", "französisch": "fr", "franzoesisch": "fr", "français": "fr", "francais": "fr", "francés": "fr", "frances": "fr",
-    "spanish": "es", "spanisch": "es", "espagnol": "es", "español": "es", "espanol": "es", "castellano": "es",
+    "english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "ingles": "en", "inglese": "en", "inglês": "en",
+    "german": "de", "deutsch": "de", "allemand": "de", "alemán": "de", "aleman": "de", "tedesco": "de", "alemão": "de",
+    "french": "fr", "französisch": "fr", "franzoesisch": "fr", "français": "fr", "francais": "fr", "francés": "fr", "frances": "fr", "francese": "fr", "francês": "fr",
+    "spanish": "es", "spanisch": "es", "espagnol": "es", "español": "es", "espanol": "es", "castellano": "es", "spagnolo": "es", "espanhol": "es",
+    "italian": "it", "italienisch": "it", "italien": "it", "italiano": "it",
+    "portuguese": "pt", "portugiesisch": "pt", "portugais": "pt", "portugués": "pt", "portoghese": "pt", "português": "pt",
+    "dutch": "nl", "niederländisch": "nl", "néerlandais": "nl", "neerlandés": "nl", "olandese": "nl",
+    "russian": "ru", "russisch": "ru", "russe": "ru", "ruso": "ru", "russo": "ru", "chinese": "zh", "chinesisch": "zh", "chinois": "zh", "chino": "zh", "cinese": "zh",
+    "japanese": "ja", "japanisch": "ja", "japonais": "ja", "japonés": "ja", "giapponese": "ja", "korean": "ko", "koreanisch": "ko", "coréen": "ko", "coreano": "ko",
+    "arabic": "ar", "arabisch": "ar", "arabe": "ar", "árabe": "ar", "arabo": "ar", "greek": "el", "griechisch": "el", "grec": "el", "griego": "el",
+    "hebrew": "he", "hebräisch": "he", "hindi": "hi", "thai": "th", "ukrainian": "uk", "ukrainisch": "uk",
 }
+#: Scripts of the languages that aren't written in Latin letters, as Unicode names its letters.
+SCRIPT_OF = {"ru": "CYRILLIC", "uk": "CYRILLIC", "zh": "CJK", "ja": "KANA", "ko": "HANGUL", "ar": "ARABIC", "el": "GREEK", "he": "HEBREW", "hi": "DEVANAGARI", "th": "THAI"}
 _ASKS = re.compile(
-    r"\b(?:reply|answer|respond|write|say|antwort\w*|schreib\w*|répon\w*|repon\w*|écri\w*|rédige\w*|respond\w*|respuesta|contest\w*|escrib\w*)\b[^.!?\n]{0,40}?\b(?:in|auf|en)\s+(" + "|".join(LANGUAGE_NAMES) + r")\b"
+    r"\b(?:reply|answer|respond|write|say|translat\w*|antwort\w*|schreib\w*|übersetz\w*|répon\w*|repon\w*|écri\w*|rédige\w*|tradui\w*|respond\w*|respuesta|contest\w*|escrib\w*|traduc\w*|traduz\w*|rispond\w*|scriv\w*|escrev\w*)\b"
+    r"[^.!?\n]{0,40}?\b(?:in|into|to|auf|ins|en|al|em)\s+(" + "|".join(LANGUAGE_NAMES) + r")\b"
 )
 
 # Phrases by which an answer declines, in the four languages.
@@ -49,6 +74,13 @@ REFUSALS = (
     r"\bkann (?:ich )?(?:\w+ )?(?:nicht|leider) (?:\w+ )?(?:helfen|beantworten|antworten|weiterhelfen)", r"\bich (?:leider )?(?:nicht|keine) (?:\w+ )?(?:helfen|beantworten|auskunft)", r"\bnicht in der lage\b", r"\bmuss ich (?:leider )?(?:ablehnen|verweigern)", r"\b(?:diese )?(?:anfrage|frage|bitte) (?:\w+ )?(?:muss|möchte) ich ablehnen", r"\bdarf ich (?:leider )?(?:keine|nicht)\b", r"\bich darf\b.{0,40}\b(?:nicht|keine)\b", r"\bgegen meine (?:regeln|richtlinien)\b", r"\bkeine auskunft\b",
     r"\bne (?:peux|puis) (?:malheureusement )?pas (?:vous )?(?:aider|répondre|traiter|faire|écrire|en parler)", r"\bdois (?:malheureusement )?(?:refuser|décliner)", r"\bn'ai pas le droit\b", r"\bm'est impossible\b", r"\bne suis pas (?:en mesure|autorisée?|capable)\b", r"\bcontre mes (?:règles|principes)\b", r"\bpréfère ne pas\b",
     r"\bno puedo (?:ayudar|responder|contestar|hacer|escribir|hablar|atender)", r"\bno soy capaz\b", r"\bdebo (?:rechazar|declinar|negarme)", r"\btengo que (?:rechazar|declinar)", r"\bno me está permitido\b", r"\bno (?:me es|es) posible\b", r"\bcontra mis (?:normas|reglas)\b", r"\bprefiero no\b",
+    r"\bnon (?:posso|sono in grado di|mi è possibile) (?:\w+ )?(?:aiutart?i|aiutar\w*|rispond\w*|assist\w*|fornir\w*|scriver\w*|parlar\w*|farlo)", r"\bdevo (?:purtroppo )?(?:rifiutare|declinare)", r"\bnon mi è (?:permesso|consentito|possibile)\b", r"\bpreferisco non\b",
+    r"\bnão (?:posso|consigo) (?:\w+ )?(?:ajudar|responder|atender|escrever|falar|fazer)", r"\b(?:devo|tenho de|preciso) recusar", r"\bnão me é (?:permitido|possível)\b", r"\bprefiro não\b",
+    r"\bkan (?:ik )?(?:\w+ )?(?:niet|helaas) (?:\w+ )*(?:helpen|beantwoorden|antwoorden)", r"\bmoet (?:ik )?(?:\w+ )*weigeren\b", r"\bmag ik niet\b", r"\bniet in staat\b",
+    r"\bне (?:могу|можу|смогу|в состоянии|имею права)\b", r"\bвынужден\w* отказа", r"\bотказываюсь\b",
+    r"(?:お答え|お手伝い|お応え|回答|対応|支援|提供)(?:すること)?(?:は|が)?(?:でき|いたしかね|致しかね|しかね)", r"できません", r"お断り", r"控えさせて",
+    r"(?:无法|不能|没办法|沒辦法|無法)[^。！？]{0,12}(?:帮助|帮忙|幫助|幫忙|回答|提供|协助|協助|满足|继续|讨论)", r"(?:拒绝|拒絕)(?:回答|提供|这个|這個|该)", r"不(?:便|方便|允许)[^。！？]{0,6}(?:回答|提供)",
+    r"(?:도와|답변|대답|제공)[^.]{0,12}(?:수 없|어렵|못)",
 )
 _REFUSAL = re.compile("|".join(REFUSALS))
 # Sentences that may stand beside a refusal without being an answer.
@@ -59,6 +91,8 @@ FILLERS = (
     r"\bmöchtest\b.{0,30}\b(?:hören|wissen)\b", r"\bverständnis\b", r"\bhoffe\b.{0,30}\b(?:verstehst|verstehen|verständlich)\b", r"\b(?:frag|fragen|wende|wenden)\b.{0,40}\b(?:fach\w*|expert\w*|person|stelle)\b", r"\b(?:sonst|noch) (?:etwas|was)\b",
     r"\bvoulez en savoir\b", r"\bj'espère que\b", r"\b(?:demandez|adressez|consultez)\b.{0,60}\b(?:spécialiste|expert\w*|professionnel\w*|personne)\b", r"\bautre chose\b", r"\bcompréhension\b",
     r"\bquieres saber\b", r"\bespero que\b", r"\bconsulta\b.{0,40}\b(?:experta|experto|especialista|profesional|persona)\b", r"\b(?:algo|alguna cosa) más\b", r"\bcomprensión\b", r"\botra cosa\b",
+    r"\bmi (?:di)?spiace\b", r"\bcomprensione\b", r"\bspero che\b", r"\baltro\b.{0,20}\b(?:aiutar|posso)", r"\b(?:desculpe|sinto muito|lamento)\b", r"\bcompreensão\b", r"\bespero que\b", r"\bhet spijt me\b", r"\bbegrip\b",
+    r"\b(?:извини|прости|сожалени|понимани)\w*", r"(?:申し訳|すみません|ごめん|ご了承|ご理解)", r"(?:抱歉|对不起|對不起|谅解|諒解|理解)", r"(?:죄송|미안|양해)",
 )
 _FILLER = re.compile("|".join(FILLERS))
 
@@ -68,7 +102,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _FENCE = re.compile(r"```.*?(?:```|$)", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+(?:[.!?](?=[\s\"”»<)]|$))?")
-_SENTENCE = re.compile(r"(?<=[.!?])[\s\"”»]+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])[\s\"”»]+|(?<=[。！？])|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|[a-z][.)])\s+\S")
 _CODE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r'(?<!\w)"[^"\n]*"(?!\w)')
@@ -81,37 +115,18 @@ _PADDED = re.compile(r"(?<!\S)[A-Za-z0-9+/]{8,}={1,2}$")
 _SIGNED = re.compile(r"(?:^|\s)[—–]{1,2}\s?\w[\w.'-]*(?: \w[\w.'-]*){0,3}$")
 _LAST_TURN = re.compile(r"(?:^|\n)\s*(?:user|human|q|question|nutzer|utilisateur|usuario)\s*:\s*|<\|im_start\|>\s*user\s*|<\|user\|>|\[INST\]|###\s*(?:request|user|instruction)\s*:?\s*", re.I)
 _OTHER_TURN = re.compile(r"\n\s*(?:assistant|bot|ai)\s*:|<\|im_end\|>|<\|assistant\|>|<\|im_start\|>|\[/INST\]|###\s*(?:reply|assistant|response)", re.I)
+_OTHER_LETTER = re.compile(r"[^\W\d_\x00-\x7f]")
+_LATIN_LETTER = re.compile(r"[A-Za-z]")
+#: Lines of code, which need no full stop: an assignment, a call, a keyword, or a mark of block or statement.
+_CODE_LINE = re.compile(
+    r"^\s*(?:def|class|return|import|from|for|while|if|elif|else|print|var|let|const|function|public|private|select|insert|update|echo|#include)\b(?!\s+\w+\s+\w+\s+\w+)"
+    r"|^\s*[\w.\[\]]+\s*(?:[-+*/]?=|:=|->|=>)\s*\S|[;{}]\s*$|^\s{2,}\S.*[=()\[\]]|^\s*[\w.]+\([^()]*\)\s*$"
+)
+#: A sentence that ended before.
+_ENDED = re.compile(r"[^\W_][\"'”»)\]]*[.!?…][\"'”»)\]]*\s")
 _LABEL = re.compile(r"^\s*(?:>\s*|(?:q|question|prompt|frage|pregunta|task|request|aufgabe|user)\s*:\s*)+", re.I)
 
 
-class Model:
-    """How often each frequent word of the answers occurs, and how often it ends a sentence."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.of = {w: (n, f) for w, n, f in rows}
-        self.sorted = sorted(self.of)
-
-    def cut(self, word: str) -> bool:
-        """Whether a text that stops after this word (in lower case) stops too early."""
-        n, f = self.of.get(word, (0, 0))
-        if word in _ANY_FUNCTION and f <= 0.02 * n:
-            return True
-        if n >= 20 and f < 0.02 * n:
-            return True
-        if n < 20 and f == 0 and len(word) > 1:  # perhaps the beginning of a frequent word
-            k = bisect.bisect_right(self.sorted, word)
-            while k < len(self.sorted) and self.sorted[k].startswith(word):
-                if self.of[self.sorted[k]][0] >= 20 * max(n, 2):
-                    return True
-                k += 1
-        return False
-
-    def whole(self, word: str) -> bool:
-        """Whether this word nearly always ends its sentence, so that nothing is missing but the full stop."""
-        n, f = self.of.get(word, (0, 0))
-        return n >= 20 and f > 0.8 * n
-
-
 def last_turn(prompt: str) -> str:
     """The last request of a rendered conversation, or the whole prompt."""
     parts = _LAST_TURN.split(prompt)
@@ -131,8 +146,33 @@ def language(text: str) -> str | None:
     return best if n >= 2 and n > 1.25 * second else None
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> str:
+    """The first word of the letter's Unicode name, which names its script."""
+    name = unicodedata.name(letter, "").split(" ")[0].split("-")[0]
+    return "KANA" if name in ("HIRAGANA", "KATAKANA") else name
+
+
+def script(text: str) -> str | None:
+    """The script that more than half of the letters belong to. Ideograms beside kana are Japanese."""
+    others = _OTHER_LETTER.findall(text)
+    if not others:
+        return "LATIN" if _LATIN_LETTER.search(text) else None
+    count = Counter(map(_script, others))
+    count["LATIN"] += len(_LATIN_LETTER.findall(text))
+    for name in ("CJK", "KANA", "HANGUL"):
+        count[name] *= IDEOGRAM
+    if 10 * count["KANA"] >= count["CJK"]:
+        count["KANA"] += count.pop("CJK")
+    best, n = count.most_common(1)[0]
+    return best if best and 2 * n > count.total() else None
+
+
 #: Stems that every language name starts with or holds: a cheap test before the pattern.
-_STEMS = ("engl", "angl", "ingl", "germ", "deut", "llem", "alem", "fren", "fran", "span", "espa", "castell")
+_STEMS = (
+    "engl", "angl", "ingl", "germ", "deut", "llem", "alem", "tedes", "fren", "fran", "span", "espa", "castell", "spagn", "itali", "portu", "porto", "dutch", "niederl", "nland", "neerl", "oland",
+    "russ", "ruso", "chin", "cinese", "japan", "japon", "giapp", "korea", "coré", "coreano", "arab", "árab", "greek", "griech", "grec", "griego", "hebr", "hindi", "thai", "ukrain",
+)
 
 
 def asked_language(prompt: str) -> str | None:
@@ -185,7 +225,11 @@ def left_open(text: str) -> bool:
     return depth > 0
 
 
-def is_truncated(answer: str, visible: str, model: Model) -> bool:
+def is_truncated(answer: str, visible: str) -> bool | tuple[str, str]:
+    """Whether the answer stops before its end, or (rule, word) if that hangs on the endings of its last word (in lower case).
+
+    The rules: "cut" if texts don't stop after the word, "open" if they don't nearly always.
+    """
     low = answer.lower()
     opened = low.rfind("<think>")
     if opened >= 0 and "</think>" not in low[opened:]:
@@ -222,10 +266,14 @@ def is_truncated(answer: str, visible: str, model: Model) -> bool:
         return False  # a closing line and a name
     word = found[-1]
     if _ITEM.match(lines[-1]):
-        return word[0].islower() and model.cut(word.lower())
+        return ("cut", word.lower()) if word[0].islower() else False
+    if _CODE_LINE.search(lines[-1]):
+        return False
     if len(_WORD.findall(text)) <= 3:
-        return model.cut(word.lower()) and word.lower() in _ANY_FUNCTION
-    return not model.whole(word.lower())
+        return ("cut", word.lower()) if word.lower() in _ANY_FUNCTION else False
+    # A missing full stop alone tells nothing: earlier sentences have theirs, or a full sentence began, or the word itself is one that goes on.
+    begun = len(_WORD.findall(text)) >= SENTENCE_WORDS and text.lstrip(" \n*_#>\"“«")[:1].isupper() and not end.isdigit()
+    return ("open" if begun or _ENDED.search(text) else "cut", word.lower())
 
 
 def is_refusal(visible: str) -> bool:
@@ -263,30 +311,39 @@ def is_copied(prompt: str, turn: str, visible: str) -> bool:
 
 
 def is_foreign(prompt: str, turn: str, visible: str) -> bool:
-    wanted = asked_language(prompt) or language(turn)
-    given = language(_FENCE.sub(" ", visible) if "```" in visible else visible)
+    asked, prose = asked_language(prompt), _FENCE.sub(" ", visible) if "```" in visible else visible
+    wanted, given = SCRIPT_OF.get(asked, "LATIN") if asked else script(turn), script(prose)
+    if wanted and given and wanted != given:
+        return True
+    if given != "LATIN":
+        return False
+    wanted, given = asked or language(turn), language(prose)
     return bool(wanted and given and wanted != given)
 
 
-def defects(prompt: str | None, answer: str | None, model: Model) -> list[str]:
-    """Every defect of the answer, in the order of the rules. A null answer is empty, and an empty one has no other defect."""
+def defects(prompt: str | None, answer: str | None) -> tuple[list[str], tuple[str, str] | None]:
+    """Every defect of the answer in the order of the rules, and the rule and word on which "truncated" hangs, if it does.
+
+    A null answer is empty, and an empty one has no other defect.
+    """
     if answer is None:
-        return ["empty"]
+        return ["empty"], None
     visible = _visible(answer)
     if is_empty(answer, visible):
-        return ["empty"]
+        return ["empty"], None
     asked = prompt is not None and bool(prompt.strip())
     turn = last_turn(prompt) if asked else ""
-    out = []
+    out, hangs = [], None
     if asked and is_copied(prompt, turn, visible):  # before "truncated": a copy may lack its full stop
         out.append("copied")
-    if is_truncated(answer, visible, model):
+    if cut := is_truncated(answer, visible):
         out.append("truncated")
+        hangs = cut if cut is not True else None
     if is_refusal(visible):
         out.append("refusal")
     if asked and is_foreign(prompt, turn, visible):
         out.append("language")
-    return out
+    return out, hangs
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,40 +360,64 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([v[0] for v in words.values()], pa.int64()), pa.array([v[1] for v in words.values()], pa.int64())], names=["w", "n", "f"])
 
 
+def _endings(answers: DataFrame, words: DataFrame) -> DataFrame:
+    """For every word of ``words``: whether texts don't stop after it (``cut``), and whether they nearly always do (``whole``).
+
+    Counted over all answers, whatever the number of different words: counts and prefixes are joined by word, none is broadcast.
+    """
+    counts = answers.mapInArrow(_count_words, "w string, n bigint, f bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    counts = written(counts, "words")
+    beginnings = F.transform(F.sequence(F.lit(2), F.length("w") - 1), lambda k: F.substring(F.col("w"), F.lit(1), k))
+    longer = counts.where((F.col("n") >= 2 * MUCH_MORE) & (F.length("w") > 2)).select(F.explode(beginnings).alias("word"), "n")
+    longer = longer.groupBy("word").agg(F.max("n").alias("longer"))
+    n, f = F.coalesce("n", F.lit(0)), F.coalesce("f", F.lit(0))
+    seldom = (F.col("word").isin(*sorted(_ANY_FUNCTION)) & (f <= SELDOM_LAST * n)) | ((n >= KNOWN) & (f < SELDOM_LAST * n))
+    begun = (n < KNOWN) & (f == 0) & (F.coalesce("longer", F.lit(0)) >= MUCH_MORE * F.greatest(n, F.lit(2)))
+    found = words.join(counts.withColumnRenamed("w", "word"), "word", "left").join(longer, "word", "left")
+    return found.select("word", (seldom | begun).alias("cut"), ((n >= KNOWN) & (f > MOSTLY_LAST * n)).alias("whole"))
+
+
 def flag_pairs(df: DataFrame, keys: list[str], prompt: str, answer: str) -> DataFrame:
     """``keys`` with ``defect`` and ``place`` (1 for the first rule that applied): one row for every defect of every row of ``df``.
 
     Rules, in this order: *empty* (null, or nothing but blanks, tags, marks or a word for "no value"; finished thinking without an
     answer), *copied* (the prompt or its last turn, perhaps slightly changed), *truncated* (thinking, tag, code fence, bracket or
-    quotation left open, or an abrupt end), *refusal* (phrases in four languages, and nothing else in the answer) and *language* (the
-    script carries no hint among languages written alike, so function words vote). Where the prompt is null or blank, *copied* and
-    *language* never apply. Repeated rows count each; an empty table gives an empty result; other columns aren't read; texts are read whole.
-
-    Whether an unpunctuated end is abrupt is read off a table of the ``MODEL_WORDS`` most frequent words of all answers: how often
-    each ends a sentence. That table, counted over every answer and combined before the shuffle, is the only thing broadcast.
+    quotation left open, or an abrupt end), *refusal* (phrases in eleven languages, and nothing else in the answer) and *language* (the
+    answer's script isn't that of the language asked for, or of the prompt; among languages in Latin letters function words vote). Where
+    the prompt is null or blank, *copied* and *language* never apply. Repeated rows count each; an empty table gives an empty result;
+    other columns aren't read; texts are read whole.
+
+    Whether an unpunctuated end is abrupt hangs on how often its last word ends a sentence in all answers (and never on a missing full
+    stop alone). Answers with a possible defect are written; the words on which some of them hang are joined with the counts of all
+    words, and the verdicts joined back.
     """
-    spark = df.sparkSession
-    answers = df.where(F.col(answer).isNotNull()).select(answer)
-    counts = answers.mapInArrow(_count_words, "w string, n bigint, f bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).where(F.col("n") > 1)
-    rows = counts.orderBy(F.desc("n"), "w").limit(MODEL_WORDS).collect()
-    model = spark.sparkContext.broadcast(Model([(r.w, r.n, r.f) for r in rows]))
     fields = [f for f in df.schema.fields if f.name in keys]
     names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["defect string", "place int"])
+    found = "_defects array<string>, _rule string, word string"
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
         for batch in batches:
-            at, found, place = [], [], []
+            at, lists, rules, words = [], [], [], []
             for k, (p, a) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
-                for n, d in enumerate(defects(p, a, own), 1):
+                out, hangs = defects(p, a)
+                if out:
                     at.append(k)
-                    found.append(d)
-                    place.append(n)
+                    lists.append(out)
+                    rules.append(hangs[0] if hangs else None)
+                    words.append(hangs[1] if hangs else None)
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], pa.array(found, pa.string()), pa.array(place, pa.int32())], names=[*names, "defect", "place"])
+            columns = [pa.array(lists, pa.list_(pa.string())), pa.array(rules, pa.string()), pa.array(words, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *columns], names=[*names, "_defects", "_rule", "word"])
 
-    return df.select(*names, F.col(prompt).alias("prompt"), F.col(answer).alias("answer")).mapInArrow(run, schema)
+    answers = df.where(F.col(answer).isNotNull()).select(answer)
+    flagged = written(df.select(*names, F.col(prompt).alias("prompt"), F.col(answer).alias("answer")).mapInArrow(run, schema), "flags")
+    hanging = flagged.where(F.col("word").isNotNull())
+    verdicts = _endings(answers, hanging.select("word").distinct())
+    cut = F.when(F.col("_rule") == "cut", F.col("cut")).otherwise(~F.col("whole"))
+    decided = hanging.join(verdicts, "word").select(*names, F.filter("_defects", lambda d: (d != "truncated") | cut).alias("_defects"))
+    every = flagged.where(F.col("word").isNull()).select(*names, "_defects").unionByName(decided)
+    return every.select(*names, F.posexplode("_defects").alias("_at", "defect")).select(*names, "defect", (F.col("_at") + 1).alias("place"))
 
 
 def pair_fields(sft: DataFrame, preferences: DataFrame) -> DataFrame:

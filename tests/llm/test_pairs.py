@@ -2,9 +2,25 @@
 
 import pytest
 
-from rollmill.llm.pairs import Model, asked_language, defects, flag_pairs, language, last_turn
+from rollmill.llm import pairs
+from rollmill.llm.pairs import asked_language, flag_pairs, language, last_turn, script
+
+MODEL = {"the": (5000, 1), "without": (400, 0), "weeks": (500, 480), "pension": (300, 8)}
+
+
+def defects(prompt, answer, counts):
+    """The rules, with the verdict on the last word looked up in a plain table; the joins that give it are tested against it below."""
+    out, hangs = pairs.defects(prompt, answer)
+    if hangs:
+        rule, word = hangs
+        n, f = counts.get(word, (0, 0))
+        longer = max((m for w, (m, _) in counts.items() if w.startswith(word) and w != word and m >= 40), default=0)
+        cut = (word in pairs._ANY_FUNCTION and f <= 0.02 * n) or (n >= 20 and f < 0.02 * n) or (n < 20 and f == 0 and len(word) > 1 and longer >= 20 * max(n, 2))
+        if not (cut if rule == "cut" else not (n >= 20 and f > 0.8 * n)):
+            out.remove("truncated")
+    return out
+
 
-MODEL = Model([("the", 5000, 1), ("without", 400, 0), ("weeks", 500, 480), ("pension", 300, 8)])
 PROMPT = "Compare the harmony with the drum pattern and give five reasons for it."
 GOOD = "The harmony follows the drum pattern in most of the songs that were written here."
 
@@ -41,7 +57,47 @@ def test_open_delimiters_and_operators_are_truncated(end):
     ],
 )
 def test_closed_delimiters_are_whole(end):
-    assert "truncated" not in defects(PROMPT, f"{GOOD} {GOOD}\n{end}", Model([("a", 100, 90), ("c", 100, 90)]))
+    assert "truncated" not in defects(PROMPT, f"{GOOD} {GOOD}\n{end}", {"a": (100, 90), "c": (100, 90)})
+
+
+@pytest.mark.parametrize(
+    "answer, found",
+    [
+        ("和声在大多数歌曲中都遵循鼓的节奏，这里写的歌曲也是如此。", ["language"]), ("Гармония следует за ритмом барабанов в большинстве песен, которые здесь написаны.", ["language"]),
+        ("L'armonia segue il ritmo della batteria nella maggior parte delle canzoni che sono state scritte qui.", ["language"]),
+        ("申し訳ありませんが、そのご質問にはお答えできません。", ["refusal", "language"]), ("Mi dispiace, ma non posso aiutarti con questa richiesta.", ["refusal", "language"]),
+        ("很抱歉，我无法回答这个问题。", ["refusal", "language"]), ("Извините, но я не могу помочь с этим.", ["refusal", "language"]),
+        ("There are three reasons and the answer is 42", []), ("x = load(path)\nreturn x", []), ("def double(x):\n    return 2 * x", []),
+        ("There are three reasons. One is that the drums lead, and the other is that the", ["truncated"]),
+    ],
+)
+def test_other_scripts_languages_and_code_without_any_counts(answer, found):
+    assert defects("Name three reasons for the harmony of the songs.", answer, {}) == found
+
+
+def test_scripts():
+    assert script("plain") == "LATIN" and script("42") is None and script("Größe 5") == "LATIN"
+    assert script("日本語のテキスト") == "KANA" and script("汉字文本 ok") == "CJK" and script("Привет, world of") in ("LATIN", None) and script("한국어") == "HANGUL"
+    assert defects("Answer in Russian, please: what is the sum?", "Сумма равна двум.", {}) == [] and defects("Answer in Russian, please: what is it?", "It is the sum of the two.", {}) == ["language"]
+    assert defects("请用两句话说明原因。", "原因有两个。第一个是鼓。", {}) == []
+
+
+def test_joined_verdicts_equal_those_of_a_plain_table(spark):
+    words = ["alpha", "beta", "gammadelta", "the", "of"]
+    rows = []
+    for i in range(600):
+        w = words[i % 5]
+        rows.append((i, f"It was said before. Now it is about {w} and more {w if i % 7 else w + '.'}", None))
+    rows += [(1000, "It was so. Then comes the gamma", None), (1001, "- it is about alp", None), (1002, "It was so. We look at unseen", None)]
+    df = spark.createDataFrame(rows, "seq bigint, a string, p string").repartition(5)
+    counts = {}
+    for _, text, _ in rows:
+        for token in pairs._TOKEN.findall(text.lower()):
+            n, f = counts.get(token.rstrip(".!?"), (0, 0))
+            counts[token.rstrip(".!?")] = n + 1, f + token.endswith(".")
+    got = sorted((r.seq, r.defect) for r in flag_pairs(df, ["seq"], "p", "a").collect())
+    assert got == sorted((i, d) for i, t, p in rows for d in defects(p, t, counts))
+    assert len({i for i, _ in got}) > 400
 
 
 def test_languages():
