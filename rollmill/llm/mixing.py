@@ -14,6 +14,8 @@ from rollmill.plans.store import written
 
 #: Documents of a block, about. Only the block at which a budget ends is looked at document by document.
 BLOCK_ROWS = 20_000
+#: The targets are a stated table of at most so many rows; more are refused.
+MAX_TARGETS = 100_000
 
 
 def entropy(weights: Sequence[float]) -> float:
@@ -55,13 +57,26 @@ def temperature_weights(tokens: Sequence[float], target_entropy: float | None =
     return at(exponent), exponent
 
 
-def tempered_targets(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence[float], budget: float | None = None) -> tuple[np.ndarray, float, float]:
+def _bisect(holds, low: float = 0.0, high: float = 1.0) -> tuple[float, float]:
+    """The two ends, 2 ** -60 apart, of the border between exponents at which ``holds`` is as at ``low`` and the others."""
+    first = holds(low)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if holds(middle) == first else (low, middle)
+    return low, high
+
+
+def tempered_targets(
+    tokens: Sequence[float], targets: Sequence[float], repeats: Sequence[float], budget: float | None = None, tolerance: float = 0.0
+) -> tuple[np.ndarray, float, float]:
     """Weights, exponent and token budget of a mix that keeps every source within its repetition limit.
 
-    Without a budget the exponent is 0: the weights are the targets (of the sources that have tokens, scaled to 1), and the budget is
-    the largest at which no source needs more than ``repeats`` times its tokens. With a larger budget the weights are tempered towards
-    the natural token shares, in proportion to target * (share / target) ** exponent, by the smallest exponent in [0, 1], found by
-    bisection, at which the repetition limits hold; should even the natural shares not do, the budget is cut to what they allow.
+    Weights are tempered from the targets (of the sources that have tokens, scaled to 1) towards the natural token shares, in
+    proportion to target * (share / target) ** exponent: the exponent 0 gives the targets, 1 the natural shares. At each exponent the
+    repetition limits (``repeats`` times a source's tokens) allow some largest budget. Without a stated budget, the exponents at which
+    every weight is within ``tolerance`` (in proportion) of its target are found by bisection, and the budget is the largest that they allow. The
+    exponent is then the smallest, found by bisection, at which the budget keeps the repetition limits: 0 if the targets themselves do.
+    A budget beyond what the natural shares allow is cut to that.
     """
     t, q, r = (np.asarray(x, float) for x in (tokens, targets, repeats))
     there = (t > 0) & (q > 0) & (r > 0)
@@ -75,20 +90,21 @@ def tempered_targets(tokens: Sequence[float], targets: Sequence[float], repeats:
         w = goal * (share / goal) ** a
         return w / w.sum()
 
-    exponent, most = 0.0, float((limit / at(0.0)).min())
+    def allowed(a: float) -> float:
+        return float((limit / at(a)).min())
+
+    end = 1.0
     if budget is None:
-        budget = most
-    elif budget > most:
-        if budget > float((limit / at(1.0)).min()):
-            exponent, budget = 1.0, float((limit / at(1.0)).min())
-        else:
-            low, high = 0.0, 1.0
-            for _ in range(100):
-                middle = (low + high) / 2
-                low, high = (low, middle) if (budget * at(middle) <= limit).all() else (middle, high)
-            exponent = high
+        near = lambda a: bool((np.abs(at(a) / goal - 1) <= tolerance).all())
+        if not near(1.0):
+            end = _bisect(near)[0]
+        budget = max(allowed(a) for a in np.linspace(0.0, end, 65))
+    budget, exponent = min(float(budget), max(allowed(0.0), *(allowed(a) for a in np.linspace(0.0, end, 65)))), 0.0
+    if budget > allowed(0.0):
+        best = min((a for a in np.linspace(0.0, end, 65) if allowed(a) >= budget), default=end)
+        exponent = _bisect(lambda a: allowed(a) >= budget, 0.0, float(best))[1]
     weights[there] = at(exponent)
-    return weights, exponent, float(budget)
+    return weights, exponent, budget
 
 
 def larger_budget(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence[float], reach: float) -> float:
@@ -113,11 +129,18 @@ def fill_gap(rows: pd.DataFrame, gap: float) -> pd.DataFrame:
     return rows[take]
 
 
-def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None, reach: float) -> tuple[list[dict], dict[str, tuple[int, int]]]:
+def of_listed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows whose ``source`` is listed in ``targets``: a map-side join with at most MAX_TARGETS names."""
+    listed = targets.where(F.col("mix").isNotNull() & F.col("source").isNotNull()).select("source").distinct().limit(MAX_TARGETS)
+    return rows.join(F.broadcast(listed), "source", "left_semi")
+
+
+def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None, reach: float, tolerance: float) -> tuple[list[dict], dict[str, tuple[int, int]]]:
     """Weights and passes of every (mix, source) of ``targets``, a stated table; totals of those sources, one row each, come to the driver."""
-    goals = targets.where(F.col("mix").isNotNull() & F.col("source").isNotNull()).select("mix", "source", "target_share", "max_repeats").collect()
-    listed = targets.select("source").where(F.col("source").isNotNull()).distinct()
-    totals = {r.source: (int(r.t), int(r.c)) for r in sizes.join(F.broadcast(listed), "source").groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).collect()}
+    goals = targets.where(F.col("mix").isNotNull() & F.col("source").isNotNull()).select("mix", "source", "target_share", "max_repeats").limit(MAX_TARGETS + 1).collect()
+    if len(goals) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    totals = {r.source: (int(r.t), int(r.c)) for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).collect()}
     plan = []
     for mix in sorted({g.mix for g in goals}):
         own = sorted((g for g in goals if g.mix == mix), key=lambda g: g.source)
@@ -126,7 +149,7 @@ def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None
         stated = (budgets or {}).get(mix)
         if stated is None and reach > 0:
             stated = larger_budget(tokens, wishes, limits, reach)
-        weights, exponent, budget = tempered_targets(tokens, wishes, limits, stated)
+        weights, exponent, budget = tempered_targets(tokens, wishes, limits, stated, tolerance)
         for g, t, w in zip(own, tokens, weights):
             wanted = min(w * budget, t * (g.max_repeats or 0))
             passes = int(math.floor(wanted / t + 1e-9)) if t else 0
@@ -134,7 +157,7 @@ def _plan(sizes: DataFrame, targets: DataFrame, budgets: dict[str, float] | None
     return plan, totals
 
 
-def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str, float] | None = None, seed: int = 17, reach: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str, float] | None = None, seed: int = 17, reach: float = 0.0, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Two tables: uses of documents (``mix``, ``source``, ``id``, ``pass_no``, ``n_tokens``) and shares reached, one row per (mix, source).
 
     ``sizes`` has ``id``, ``source``, ``n_tokens``; ``targets`` has ``mix``, ``source``, ``target_share``, ``max_repeats`` (both unique per
@@ -143,15 +166,17 @@ def mix_sources(sizes: DataFrame, id: str, targets: DataFrame, budgets: dict[str
     tokens are left out; empty tables give empty results; other columns aren't read.
 
     Weights and budget come from :func:`tempered_targets`; mixes without a stated budget take that of :func:`larger_budget` where ``reach``
-    is above 0. A source is used in whole passes while its budget lasts. The last, partial
+    is above 0, else the largest at which all weights are within ``tolerance`` of their targets. Only documents of listed sources are sized (``sizes`` may be a lazy plan: its other rows are filtered out first) and
+    written, once; more than ``MAX_TARGETS`` targets are refused. A source is used in whole passes while its budget lasts. The last, partial
     pass follows a seeded permutation: documents fall into blocks by hash, blocks are taken whole while the running block totals fit,
     and only the block in which the budget ends (about ``BLOCK_ROWS`` documents) is chosen document by document. No source is ever
     gathered or sorted as a whole, however large.
     """
     spark = sizes.sparkSession
-    rows = sizes.where(F.col(id).isNotNull() & F.col("source").isNotNull() & (F.col("n_tokens") > 0)).select(F.col(id).alias("id"), "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    rows = written(rows, "sizes")
-    plan, totals = _plan(rows, targets, budgets, reach)
+    rows = sizes.where(F.col(id).isNotNull() & F.col("source").isNotNull() & (F.col("n_tokens") > 0))
+    rows = rows.select(F.col(id).alias("id"), "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    rows = written(of_listed(rows, targets), "sizes")
+    plan, totals = _plan(rows, targets, budgets, reach, tolerance)
     schema = "mix string, source string, target_share double, max_repeats int, weight double, exponent double, passes int, rest double, blocks int"
     listed = spark.createDataFrame([tuple({**p, "blocks": max(1, -(-totals.get(p["source"], (0, 0))[1] // BLOCK_ROWS))}.values()) for p in plan], schema)
 

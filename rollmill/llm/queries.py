@@ -13,6 +13,8 @@ from rollmill.plans.tables import table
 
 #: The budgeted mixes lie halfway between exact targets and natural shares.
 REACH = 0.5
+#: The other mixes may be so far, in proportion, from their targets.
+TOLERANCE = 0.02
 #: Problem 1 asks for the best four answers of each prompt.
 BEST = 4
 
@@ -66,7 +68,7 @@ def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return written(tokens.token_sizes(table(spark, folder, "documents"), ["doc_id", "source"], "text"), "tokens")
+    return written(tokens.token_sizes(table(spark, folder, "documents"), ["doc_id"], "text"), "tokens")
 
 
 def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,30 +77,42 @@ def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers used, tokens placed and share of the space used, by kind."""
-    held = p5_packed(spark, folder).groupBy("kind", "container").agg(F.sum("n_tokens").alias("n"))
-    by_kind = held.groupBy("kind").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
-    return by_kind.join(F.broadcast(table(spark, folder, "containers")), "kind").withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    """By kind: containers of the first assignment, after the search, and needed at least; tokens placed and share of the space used."""
+    kinds = table(spark, folder, "containers")
+    placed = packing.pack_with_first(_sizes(spark, folder), "doc_id", "n_tokens", kinds)
+    held = placed.groupBy("kind", "container").agg(F.sum("n_tokens").alias("n"))
+    after = held.groupBy("kind").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    first = placed.groupBy("kind", "first_container").agg(F.count("*")).groupBy("kind").agg(F.count("*").alias("n_first"))
+    by_kind = after.join(first, "kind").join(kinds, "kind")
+    least = F.ceil(F.col("n_tokens") / F.col("capacity")).alias("n_least")
+    used = (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("used_share")
+    return by_kind.select("kind", "capacity", "n_first", "n_containers", least, "n_tokens", "fullest", used)
+
+
+def _mixes(spark: SparkSession, folder: str, reach: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    listed = mixing.of_listed(table(spark, folder, "documents"), targets)  # others aren't even tokenised
+    return mixing.mix_sources(tokens.token_sizes(listed, ["doc_id", "source"], "text"), "doc_id", targets, reach=reach, tolerance=TOLERANCE)
 
 
 def p6_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """Uses of documents in every mix, with exact target shares."""
-    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[0]
+    """Uses of documents in every mix, with shares within the tolerance of the targets."""
+    return _mixes(spark, folder)[0]
 
 
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and actual shares of every source of every mix."""
-    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"))[1]
+    """Target and actual shares of every source of every mix, with the exponent."""
+    return _mixes(spark, folder)[1]
 
 
 def p6_budgeted(spark: SparkSession, folder: str) -> DataFrame:
-    """Uses of documents in every mix, with budgets beyond those of exact targets, so that the exponent is bisected."""
-    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"), reach=REACH)[0]
+    """Uses of documents in every mix, with budgets beyond those of the tolerance, so that shares give way to size."""
+    return _mixes(spark, folder, REACH)[0]
 
 
 def p6_budgeted_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual shares of every source of every budgeted mix."""
-    return mixing.mix_sources(_sizes(spark, folder), "doc_id", table(spark, folder, "mix_targets"), reach=REACH)[1]
+    return _mixes(spark, folder, REACH)[1]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
