@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.normal import words
+from rollmill.llm.normal import _WORD, plain, words
 
 #: Spaced seeds: offsets of the word positions that a mask reads. Positions between them may hold any word.
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -19,10 +20,13 @@ WINDOW, WANTED = 18, 15
 LEAST_HITS = 1
 #: How far missing and inserted words may push words from the shift of a hit.
 SLACK = 3
-#: How far an inserted sentence may push the rest of a quote, in words.
+#: Shifts so near each other are aligned together; what lies further apart must be parted by a single sentence, of any length.
 REACH = 48
-#: Items held in memory at once; larger sets are searched in blocks of this size.
-BLOCK = 50_000
+#: Characters of the items that are held in memory at once; larger sets are searched in blocks of about this size.
+BLOCK_CHARACTERS = 20_000_000
+
+
+_END = re.compile(r"[.!?…。]+[\"'”»)\]]*\s|\n\s*\S")
 
 
 class Seeds:
@@ -73,19 +77,45 @@ class Seeds:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def quoted(item: np.ndarray, text: np.ndarray, shifts: np.ndarray) -> bool:
-    """Whether WANTED of some WINDOW words of the item stand in the text in order, within SLACK of the given shifts (text minus item position)."""
+def _band(shifts: np.ndarray) -> np.ndarray:
+    """The shifts within SLACK of the given ones."""
+    return np.unique(shifts[:, None] + np.arange(-SLACK, SLACK + 1))
+
+
+def _same(item: np.ndarray, text: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether the word of the item (second axis) stands in the text at that shift (first axis)."""
+    at = np.arange(len(item)) + band[:, None]
+    return (text[np.clip(at, 0, len(text) - 1)] == item) & (at >= 0) & (at < len(text))
+
+
+def _align(same: np.ndarray, band: np.ndarray, windows: np.ndarray, wide: int) -> np.ndarray:
+    """The longest common subsequence of the first 0 to ``wide`` words of each window with the text, along the band (windows x words)."""
+    best = np.zeros((len(windows), len(band)), np.int64)  # by shift of the last word
+    step = np.diff(band) == 1  # a missing word goes one shift down
+    out = np.zeros((len(windows), wide + 1), np.int64)
+    for o in range(wide):
+        kept = best + same[:, windows + o].T
+        kept[:, :-1] = np.maximum(kept[:, :-1], np.where(step, best[:, 1:], 0))
+        best = np.maximum.accumulate(kept, 1)  # inserted words go up
+        out[:, o + 1] = best[:, -1]
+    return out
+
+
+def quoted(item: np.ndarray, text: np.ndarray, shifts: np.ndarray, breaks=None) -> bool:
+    """Whether WANTED of some WINDOW words of the item stand in the text in order, within SLACK of the given shifts (text minus item position).
+
+    Shifts more than REACH apart count together if a single sentence lies between the two parts: ``breaks()`` gives, for every word
+    and the end of the text, how many sentences end before it.
+    """
     if len(item) < WANTED:
         return False
-    shifts = np.unique(shifts)
-    place, wide = np.arange(len(item)), min(WINDOW, len(item))
+    shifts, wide = np.unique(shifts), min(WINDOW, len(item))
+    clusters = []
     for k, s in enumerate(shifts):
         near = shifts[k : np.searchsorted(shifts, s + REACH, "right")]
-        band = np.arange(s - SLACK, near[-1] + SLACK + 1)
-        at = place + band[:, None]
-        same = (text[np.clip(at, 0, len(text) - 1)] == item) & (at >= 0) & (at < len(text))
-        if len(near) > 1:
-            same &= (np.abs(band[:, None] - near) <= SLACK).any(1)[:, None]
+        band = _band(near)
+        same = _same(item, text, band)
+        clusters.append((s, band, same))
         run = np.concatenate([[0], np.cumsum(same.any(0))])
         windows = np.flatnonzero(run[wide:] - run[:-wide] >= WANTED)
         if not len(windows):
@@ -93,14 +123,38 @@ def quoted(item: np.ndarray, text: np.ndarray, shifts: np.ndarray) -> bool:
         straight = np.concatenate([np.zeros((len(band), 1), int), np.cumsum(same, 1)], 1)
         if (straight[:, wide:] - straight[:, :-wide]).max() >= WANTED:
             return True
-        best = np.zeros((len(windows), len(band) + 1), np.int64)  # common subsequence by shift of the last word; the last column is a border
-        for o in range(wide):
-            best[:, :-1] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + same[:, windows + o].T), 1)
-        if best.max() >= WANTED:
+        if _align(same, band, windows, wide)[:, -1].max() >= WANTED:
             return True
+    if breaks is None or shifts[-1] - shifts[0] <= REACH:
+        return False
+    windows, ends = np.arange(len(item) - wide + 1), breaks()
+    before = [_align(same, band, windows, wide) for _, band, same in clusters]
+    # The other part, read from its end: words and shifts turned around.
+    after = [_align(same[::-1, ::-1], -band[::-1], len(item) - wide - windows, wide)[:, ::-1] for _, band, same in clusters]
+    split = windows[:, None] + np.arange(wide + 1)
+    for x, (s1, *_) in enumerate(clusters):
+        for y in range(x + 1, len(clusters)):
+            s2 = clusters[y][0]
+            if s2 - s1 > REACH:
+                both = before[x] + after[y] >= WANTED
+                if both.any():
+                    first, last = np.clip(split[both] + s1, 0, len(ends) - 1), np.clip(split[both] + s2, 0, len(ends) - 1)
+                    if (ends[last] - ends[np.minimum(first + SLACK, last)] <= 1).any():
+                        return True
     return False
 
 
+def sentence_ends(text: str) -> np.ndarray:
+    """For every word of the plain text, and its end, how many sentences end before it."""
+    own = plain(text)
+    out, total, last = [], 0, 0
+    for match in _WORD.finditer(own):
+        total += bool(last and _END.search(own, last, match.start() + 1))
+        out.append(total)
+        last = match.end()
+    return np.array([*out, total + 1], np.int64)
+
+
 def find_leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(``id``, ``item_id``) for every text that quotes an item: at least 15 of some 18 successive words of the item, in order and
     next to each other but for a few changed, missing or inserted words or one inserted sentence.
@@ -110,14 +164,15 @@ def find_leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str
     give an empty result; other columns aren't read.
 
     Fixed masks pick three of three or four successive words; the seeds of the items, in sorted arrays that every task holds,
-    are joined with those of each text (a map-side hash join: items come in blocks of at most ``BLOCK``, each searched in a
-    scan of its own, so the broadcast is bounded). Where a text and an item share at least ``LEAST_HITS`` seeds, the words are
-    aligned (longest common subsequence) in a band around the shifts of the hits.
+    are joined with those of each text (a map-side hash join: items come in blocks of about ``BLOCK_CHARACTERS``, each searched
+    in a scan of its own, so the broadcast is bounded). Where a text and an item share at least ``LEAST_HITS`` seeds, the words
+    are aligned (longest common subsequence) in a band around the shifts of the hits. An inserted sentence may have any length.
     """
     spark = df.sparkSession
     corpus = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("bigint"), F.col(text))
     tests = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-tests.count() // (BLOCK // 2)))
+    size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARACTERS))
     found = None
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
@@ -134,7 +189,8 @@ def _search(broadcast, names: list[str]):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             numbers, starts = [], []
-            for text in batch.column(1).to_pylist():
+            texts = batch.column(1)
+            for text in texts.to_pylist():
                 starts.append(len(numbers))
                 numbers += [number(w, -1) for w in words(text)]
                 numbers += (-1, -1, -1, -1)
@@ -159,7 +215,7 @@ def _search(broadcast, names: list[str]):
                 run, wide = np.concatenate([[0], np.cumsum(known)]), min(WINDOW, len(known))
                 if (run[wide:] - run[:-wide]).max() < WANTED:
                     continue
-                if quoted(seeds.items[i], own, at[f : f + m] - starts[d] - place[f : f + m]):
+                if quoted(seeds.items[i], own, at[f : f + m] - starts[d] - place[f : f + m], lambda d=d: sentence_ends(texts[int(d)].as_py())):
                     out.append((ids[d], seeds.ids[i]))
             got = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=names)

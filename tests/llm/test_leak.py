@@ -37,6 +37,24 @@ def test_what_counts(spark):
     assert {i for i, _ in leaks(spark, texts)} == {0, 1, 2, 3, 4, 5}
 
 
+def test_an_inserted_sentence_may_have_any_length_but_only_one(spark):
+    w = ITEM.split()
+    sentence = lambda n: "Meanwhile " + " ".join(f"word{k}" for k in range(n)) + "."
+    inserted = [f"{' '.join(w[:9])}. {sentence(n)} {' '.join(w[9:18])}" for n in (40, 50, 90, 400)]
+    swapped = " ".join(w[9:18] + w[:9])
+    far = f"{' '.join(w[:9])}. {sentence(40)} {sentence(40)} {sentence(40)} {' '.join(w[9:18])}"
+    back = f"{' '.join(w[9:18])}. {sentence(60)} {' '.join(w[:9])}"
+    assert {i for i, _ in leaks(spark, [*inserted, swapped, far, back])} == {0, 1, 2, 3}
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    items = [(k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(40)]
+    texts = [f"{FILLER} {items[k][1]} {items[k + 1][1]}" for k in range(0, 38, 3)]
+    whole = leaks(spark, texts, items)
+    monkeypatch.setattr("rollmill.llm.leak.BLOCK_CHARACTERS", 1500)
+    assert leaks(spark, texts, items) == whole and len(whole) == 26
+
+
 def test_encodings_are_neutral():
     assert words("Wie&#x27;s f\\u00fcr Ma\\u00dfe ＡＢ１２ cafÃ© café") == ["wie", "s", "fur", "masse", "ab12", "cafe", "cafe"]
 
