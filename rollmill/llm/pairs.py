@@ -77,12 +77,18 @@ REFUSALS = (
     r"\bnon (?:posso|sono in grado di|mi è possibile) (?:\w+ )?(?:aiutart?i|aiutar\w*|rispond\w*|assist\w*|fornir\w*|scriver\w*|parlar\w*|farlo)", r"\bdevo (?:purtroppo )?(?:rifiutare|declinare)", r"\bnon mi è (?:permesso|consentito|possibile)\b", r"\bpreferisco non\b",
     r"\bnão (?:posso|consigo) (?:\w+ )?(?:ajudar|responder|atender|escrever|falar|fazer)", r"\b(?:devo|tenho de|preciso) recusar", r"\bnão me é (?:permitido|possível)\b", r"\bprefiro não\b",
     r"\bkan (?:ik )?(?:\w+ )?(?:niet|helaas) (?:\w+ )*(?:helpen|beantwoorden|antwoorden)", r"\bmoet (?:ik )?(?:\w+ )*weigeren\b", r"\bmag ik niet\b", r"\bniet in staat\b",
+)
+# The same in other scripts.
+REFUSALS_IN_OTHER_SCRIPTS = (
     r"\bне (?:могу|можу|смогу|в состоянии|имею права)\b", r"\bвынужден\w* отказа", r"\bотказываюсь\b",
     r"(?:お答え|お手伝い|お応え|回答|対応|支援|提供)(?:すること)?(?:は|が)?(?:でき|いたしかね|致しかね|しかね)", r"できません", r"お断り", r"控えさせて",
     r"(?:无法|不能|没办法|沒辦法|無法)[^。！？]{0,12}(?:帮助|帮忙|幫助|幫忙|回答|提供|协助|協助|满足|继续|讨论)", r"(?:拒绝|拒絕)(?:回答|提供|这个|這個|该)", r"不(?:便|方便|允许)[^。！？]{0,6}(?:回答|提供)",
     r"(?:도와|답변|대답|제공)[^.]{0,12}(?:수 없|어렵|못)",
 )
 _REFUSAL = re.compile("|".join(REFUSALS))
+#: Looked for only in texts with such letters: few of these patterns begin at a word, so each place of a text is tried.
+_REFUSAL_THERE = re.compile("|".join(REFUSALS_IN_OTHER_SCRIPTS))
+_OTHER_SCRIPT = re.compile("[\u0370-\u1cff\u3040-\ud7ff]")
 # Sentences that may stand beside a refusal without being an answer.
 FILLERS = (
     r"^(?:hm+|well|sorry|apologies|unfortunately|thanks|thank you|oh|ah|ok|okay|leider|danke|entschuldigung|tut mir leid|désolée?|malheureusement|merci|hélas|lo siento|gracias|perdón|por desgracia)\b[^a-z]{0,3}$",
@@ -92,9 +98,13 @@ FILLERS = (
     r"\bvoulez en savoir\b", r"\bj'espère que\b", r"\b(?:demandez|adressez|consultez)\b.{0,60}\b(?:spécialiste|expert\w*|professionnel\w*|personne)\b", r"\bautre chose\b", r"\bcompréhension\b",
     r"\bquieres saber\b", r"\bespero que\b", r"\bconsulta\b.{0,40}\b(?:experta|experto|especialista|profesional|persona)\b", r"\b(?:algo|alguna cosa) más\b", r"\bcomprensión\b", r"\botra cosa\b",
     r"\bmi (?:di)?spiace\b", r"\bcomprensione\b", r"\bspero che\b", r"\baltro\b.{0,20}\b(?:aiutar|posso)", r"\b(?:desculpe|sinto muito|lamento)\b", r"\bcompreensão\b", r"\bespero que\b", r"\bhet spijt me\b", r"\bbegrip\b",
+)
+# The same in other scripts.
+FILLERS_IN_OTHER_SCRIPTS = (
     r"\b(?:извини|прости|сожалени|понимани)\w*", r"(?:申し訳|すみません|ごめん|ご了承|ご理解)", r"(?:抱歉|对不起|對不起|谅解|諒解|理解)", r"(?:죄송|미안|양해)",
 )
 _FILLER = re.compile("|".join(FILLERS))
+_FILLER_THERE = re.compile("|".join(FILLERS_IN_OTHER_SCRIPTS))
 
 _THINK = re.compile(r"<think(?:ing)?>.*?</think(?:ing)?>", re.S | re.I)
 _END_MARK = re.compile(r"<\|[^<>|]{0,40}\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad)>", re.I)
@@ -278,11 +288,14 @@ def is_truncated(answer: str, visible: str) -> bool | tuple[str, str]:
 
 def is_refusal(visible: str) -> bool:
     text = visible.replace("’", "'").lower().strip(" \n\"'*_")
-    if not _REFUSAL.search(text):
+    declines, fills = (_REFUSAL,), (_FILLER,)
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        declines, fills = (_REFUSAL, _REFUSAL_THERE), (_FILLER, _FILLER_THERE)
+    if not any(p.search(text) for p in declines):
         return False
     for sentence in _SENTENCE.split(text):
         s = sentence.strip()
-        if _WORD.search(s) and not _REFUSAL.search(s) and not _FILLER.search(s):
+        if _WORD.search(s) and not any(p.search(s) for p in (*declines, *fills)):
             return False
         if len(s.split()) > 40 or re.search(r"[\"”»],? (?:and|said|dijo|sagte|a dit|says)|^[\"“«„]", s):
             return False
