@@ -147,13 +147,15 @@ def last_turn(prompt: str) -> str:
 def language(text: str) -> str | None:
     """The language with clearly the most function words, or None."""
     votes: Counter[str] = Counter()
-    for w in _WORD.findall(text.lower()):
-        for k in _LANGUAGES_OF.get(w, ()):
-            votes[k] += 1
+    count = Counter(_WORD.findall(text.lower()))
+    for w in _LANGUAGES_OF.keys() & count.keys():
+        for k in _LANGUAGES_OF[w]:
+            votes[k] += count[w]
     if not votes:
         return None
-    (best, n), second = votes.most_common(1)[0], (votes.most_common(2)[1:] or [("", 0)])[0][1]
-    return best if n >= 2 and n > 1.25 * second else None
+    best = max(votes, key=votes.__getitem__)
+    n = votes.pop(best)
+    return best if n >= 2 and n > 1.25 * max(votes.values(), default=0) else None
 
 
 @lru_cache(maxsize=1 << 16)
@@ -165,7 +167,7 @@ def _script(letter: str) -> str:
 
 def script(text: str) -> str | None:
     """The script that more than half of the letters belong to. Ideograms beside kana are Japanese."""
-    others = _OTHER_LETTER.findall(text)
+    others = [] if text.isascii() else _OTHER_LETTER.findall(text)
     if not others:
         return "LATIN" if _LATIN_LETTER.search(text) else None
     count = Counter(map(_script, others))
@@ -178,16 +180,9 @@ def script(text: str) -> str | None:
     return best if best and 2 * n > count.total() else None
 
 
-#: Stems that every language name starts with or holds: a cheap test before the pattern.
-_STEMS = (
-    "engl", "angl", "ingl", "germ", "deut", "llem", "alem", "tedes", "fren", "fran", "span", "espa", "castell", "spagn", "itali", "portu", "porto", "dutch", "niederl", "nland", "neerl", "oland",
-    "russ", "ruso", "chin", "cinese", "japan", "japon", "giapp", "korea", "coré", "coreano", "arab", "árab", "greek", "griech", "grec", "griego", "hebr", "hindi", "thai", "ukrain",
-)
-
-
 def asked_language(prompt: str) -> str | None:
     low = prompt.lower()
-    if not any(stem in low for stem in _STEMS):
+    if LANGUAGE_NAMES.keys().isdisjoint(_WORD.findall(low)):
         return None
     found = _ASKS.findall(low)
     return LANGUAGE_NAMES[found[-1]] if found else None
@@ -311,7 +306,7 @@ def is_copied(prompt: str, turn: str, visible: str) -> bool:
         if not words or len(got) < 0.5 * len(words):
             continue
         known = set(words)
-        if sum(w in known for w in got) < 0.75 * len(got):
+        if sum(map(known.__contains__, got)) < 0.75 * len(got):
             continue
         bag, pairs = Counter(words), Counter(zip(words, words[1:]))
         own, own_pairs = Counter(got), Counter(zip(got, got[1:]))
@@ -323,15 +318,23 @@ def is_copied(prompt: str, turn: str, visible: str) -> bool:
     return False
 
 
-def is_foreign(prompt: str, turn: str, visible: str) -> bool:
-    asked, prose = asked_language(prompt), _FENCE.sub(" ", visible) if "```" in visible else visible
-    wanted, given = SCRIPT_OF.get(asked, "LATIN") if asked else script(turn), script(prose)
-    if wanted and given and wanted != given:
+@lru_cache(maxsize=16)
+def _wanted(prompt: str) -> tuple[str, str | None, str | None]:
+    """The last turn of a prompt, and the script and language that it wants. The answers of a pair come one after the other."""
+    turn, asked = last_turn(prompt), asked_language(prompt)
+    return turn, SCRIPT_OF.get(asked, "LATIN") if asked else script(turn), asked or language(turn)
+
+
+def is_foreign(prompt: str, visible: str) -> bool:
+    _, written, wanted = _wanted(prompt)
+    prose = _FENCE.sub(" ", visible) if "```" in visible else visible
+    given = script(prose)
+    if written and given and written != given:
         return True
-    if given != "LATIN":
+    if given != "LATIN" or not wanted:
         return False
-    wanted, given = asked or language(turn), language(prose)
-    return bool(wanted and given and wanted != given)
+    given = language(prose)
+    return bool(given and wanted != given)
 
 
 def defects(prompt: str | None, answer: str | None) -> tuple[list[str], tuple[str, str] | None]:
@@ -345,7 +348,7 @@ def defects(prompt: str | None, answer: str | None) -> tuple[list[str], tuple[st
     if is_empty(answer, visible):
         return ["empty"], None
     asked = prompt is not None and bool(prompt.strip())
-    turn = last_turn(prompt) if asked else ""
+    turn = _wanted(prompt)[0] if asked else ""
     out, hangs = [], None
     if asked and is_copied(prompt, turn, visible):  # before "truncated": a copy may lack its full stop
         out.append("copied")
@@ -354,7 +357,7 @@ def defects(prompt: str | None, answer: str | None) -> tuple[list[str], tuple[st
         hangs = cut if cut is not True else None
     if is_refusal(visible):
         out.append("refusal")
-    if asked and is_foreign(prompt, turn, visible):
+    if asked and is_foreign(prompt, visible):
         out.append("language")
     return out, hangs
 
