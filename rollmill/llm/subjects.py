@@ -19,7 +19,7 @@ from rollmill.plans.store import discard, written
 SLOTS = 1 << 21
 #: A term takes part if, in some language, at least this share of its documents has it (and at least MIN_DOCUMENTS of them): a rare
 #: language has its own terms. So at most (terms of a document) / LEAST_SHARE terms of a language are collected.
-LEAST_SHARE, MIN_DOCUMENTS = 0.001, 3
+LEAST_SHARE, MIN_DOCUMENTS = 0.002, 3
 #: Terms in at least this share of a language's documents are generic, and belong to the background only, unless labelled documents of
 #: some subject have them in excess: LIFT times as often as all documents.
 GENERIC_SHARE, LIFT = 0.2, 1.5
