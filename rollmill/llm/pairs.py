@@ -167,9 +167,9 @@ def _script(letter: str) -> str:
 
 def script(text: str) -> str | None:
     """The script that more than half of the letters belong to. Ideograms beside kana are Japanese."""
-    others = [] if text.isascii() else _OTHER_LETTER.findall(text)
+    others = _OTHER_LETTER.findall(text) if not text.isascii() and _OTHER_SCRIPT.search(text) else ()
     if not others:
-        return "LATIN" if _LATIN_LETTER.search(text) else None
+        return "LATIN" if _LATIN_LETTER.search(text) or _OTHER_LETTER.search(text) else None
     count = Counter(map(_script, others))
     count["LATIN"] += len(_LATIN_LETTER.findall(text))
     for name in ("CJK", "KANA", "HANGUL"):
@@ -297,15 +297,20 @@ def is_refusal(visible: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=16)
+def _sources(prompt: str, turn: str) -> list[tuple[list[str], frozenset[str]]]:
+    """The words of the last turn and, if that is another, of the whole prompt."""
+    found = [_WORD.findall(_END_MARK.sub(" ", source).lower()) for source in ((turn, prompt) if turn != prompt else (prompt,))]
+    return [(words, frozenset(words)) for words in found]
+
+
 def is_copied(prompt: str, turn: str, visible: str) -> bool:
     got = _WORD.findall(_LABEL.sub("", visible.strip()).lower())
     if not got:
         return False
-    for source in (turn, prompt) if turn != prompt else (prompt,):
-        words = _WORD.findall(_END_MARK.sub(" ", source).lower())
+    for words, known in _sources(prompt, turn):
         if not words or len(got) < 0.5 * len(words):
             continue
-        known = set(words)
         if sum(map(known.__contains__, got)) < 0.75 * len(got):
             continue
         bag, pairs = Counter(words), Counter(zip(words, words[1:]))
