@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+from rollmill.functions import flat
 
 
 def _d(x: Column) -> Column:
@@ -66,7 +66,7 @@ def unpack(x: Column, lengths: Column) -> Column:
 
 def position_ids(segment: Column) -> Column:
     """Positions that restart in every segment; 0 where the segment is 0 (padding)."""
-    return F.transform(segment, lambda s, i: F.when(s == 0, F.lit(0)).otherwise((i + 1 - F.array_position(segment, s)).cast("int")))
+    return flat.positions_in_segments(segment.cast("array<bigint>"))
 
 
 def position_ids_of_range(lengths: Column, start: Column, end: Column) -> Column:
@@ -163,19 +163,9 @@ def step_rewards(reward: Column, coefficient: float, kl: Column, places: Column,
     return F.when(ok, stepped).otherwise(sparse)
 
 
-def _scan_back(steps: Column, factor: float) -> Column:
-    """y[t] = x[t] + factor * y[t + 1], from the end: one pass over the reversed array."""
-    run = F.aggregate(
-        F.reverse(steps), F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out")),
-        lambda acc, x: F.struct((x + factor * acc["y"]).alias("y"), F.concat(acc["out"], F.array(x + factor * acc["y"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.reverse(run)
-
-
 def discounted_returns(rewards: Column, mask: Column | None = None, gamma: float = 1.0) -> Column:
     """Return to go; the mask multiplies the rewards first."""
-    return _scan_back(masked(rewards, mask) if mask is not None else _d(rewards), gamma)
+    return flat.scan_back(masked(rewards, mask) if mask is not None else _d(rewards), gamma)
 
 
 def gae(values: Column, rewards: Column, mask: Column | None = None, gamma: float = 1.0, lam: float = 0.95) -> Column:
@@ -184,7 +174,7 @@ def gae(values: Column, rewards: Column, mask: Column | None = None, gamma: floa
     r = masked(rewards, mask) if mask is not None else _d(rewards)
     nxt = F.concat(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(r, nxt, lambda a, b: a + gamma * b), v, lambda a, b: a - b)
-    return _scan_back(delta, gamma * lam)
+    return flat.scan_back(delta, gamma * lam)
 
 
 def log_sum_exp(x: Column) -> Column:
@@ -225,8 +215,7 @@ def action_slice(logps: Column, n_actions: Column) -> Column:
 
 def placeholder_labels(ids: Column, placeholder: int, labels: Column, ignore: int = -100) -> Column:
     """Label k on the k-th placeholder token, ``ignore`` elsewhere; surplus labels are dropped, missing ones are ``ignore``."""
-    seen = lambda i: F.size(F.filter(F.slice(ids, F.lit(1), i + 1), lambda t: t == placeholder))
-    return F.transform(ids, lambda t, i: F.when(t == placeholder, F.coalesce(F.get(labels, seen(i) - 1), F.lit(ignore).cast("double"))).otherwise(F.lit(ignore).cast("double")))
+    return flat.labels_at(ids.cast("array<bigint>"), _d(labels), placeholder, ignore)
 
 
 def step_scores(tokens: Column, scores: Column, tag: int) -> Column:

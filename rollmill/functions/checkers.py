@@ -1,6 +1,7 @@
 """Instruction checkers: each tells whether a text follows one verifiable instruction. Arguments may be Columns or values.
 
-A missing argument gives NULL. Sentences and capital words are told by documented patterns, languages by function words.
+A missing argument gives NULL. Sentences and capital words are told by documented patterns, languages by function words and scripts
+(or by a detector of the caller's). Further checkers join by :func:`register`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.functions.text import n_words, quoted, strip
+from rollmill.functions.arrays import let
+from rollmill.functions.languages import is_language
+from rollmill.functions.text import WORD, n_words, quoted, strip
 
 #: Answers of which a constrained response contains one.
 CONSTRAINED = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
@@ -144,11 +147,47 @@ def capital_words(x: Column, relation, n) -> Column:
 
 
 def all_capitals(x: Column) -> Column:
-    return (x == F.upper(x)) & (x != F.lower(x))
+    """In capitals, and English as far as can be told."""
+    return (x == F.upper(x)) & (x != F.lower(x)) & is_language(x, "en")
 
 
 def all_lower(x: Column) -> Column:
-    return (x == F.lower(x)) & (x != F.upper(x))
+    """In lower case, and English as far as can be told."""
+    return (x == F.lower(x)) & (x != F.upper(x)) & is_language(x, "en")
+
+
+def response_language(x: Column, code) -> Column:
+    return F.when(_c(code).isNotNull(), is_language(x, _c(code)))
+
+
+_CHANGES = r"\*.*\*"
+
+
+def rephrased(x: Column, original) -> Column:
+    """Whether text and original differ only between asterisks; NULL unless both have such a part."""
+    o = _c(original)
+    bare = lambda t: F.regexp_replace(t, _CHANGES, "")
+    return F.when(F.regexp_like(x, F.lit(_CHANGES)) & F.regexp_like(o, F.lit(_CHANGES)), bare(x) == bare(o))
+
+
+def key_sentences(found: Column, wanted: Column, n) -> Column:
+    """Whether exactly ``n`` of the wanted sentences are among those found (``rollmill.functions.sentences.sentences_of`` of the text)."""
+    return F.size(F.array_intersect(wanted, found)) == _c(n)
+
+
+def shared_words(x: Column, original) -> Column:
+    """How many words (runs of word characters, in lower case) text and original share, the smaller of both counts of each word."""
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"({WORD}+)"), F.lit(1))
+
+    def of(both: Column) -> Column:
+        count = lambda own, w: F.size(F.filter(own, lambda v: v == w))
+        return F.aggregate(F.array_intersect(both["a"], both["b"]), F.lit(0), lambda n, w: n + F.least(count(both["a"], w), count(both["b"], w)))
+
+    return let(F.struct(words(x).alias("a"), words(_c(original)).alias("b")), of)
+
+
+def rephrased_paragraph(x: Column, original, low, high) -> Column:
+    return shared_words(x, original).between(_c(low), _c(high))
 
 
 def no_comma(x: Column) -> Column:
@@ -161,6 +200,8 @@ def in_quotes(x: Column) -> Column:
 
 
 def _unfenced(x: str, word: str) -> str:
+    """Without a fence at both ends. Every *character* of the opening fence goes from the front, as often as it stands there: a quirk that
+    results depend on, kept on purpose."""
     for chars in ("```" + word, "```" + word.capitalize(), "```" + word.upper(), "```"):
         x = x.lstrip(chars) if chars != "```" + word else x.strip().lstrip(chars)
     return x.rstrip("`").strip()
@@ -187,12 +228,14 @@ _LOOSE_XML = re.compile(r"(<\?xml\s.*\?>)?.*<.*>.*</.*>", re.S)
 
 @F.pandas_udf(T.BooleanType())
 def xml_valid(x: pd.Series) -> pd.Series:
-    """Well-formed XML, or text with an opening and later a closing tag."""
+    """Well-formed XML, or text with an opening and later a closing tag. Texts that declare a document type are refused."""
 
     def one(t):
         if t is None:
             return None
         t = _unfenced(t, "xml")
+        if "<!DOCTYPE" in t or "<!ENTITY" in t:
+            return False  # entities of an untrusted text could grow without bound
         try:
             ElementTree.fromstring(t)
             return True
@@ -230,17 +273,74 @@ REGISTRY = {
     "punctuation:no_comma": lambda x, k: no_comma(x),
     "startend:quotation": lambda x, k: in_quotes(x),
     "multi-turn:constrained_start": lambda x, k: constrained_start(x, k["starter"]),
+    "language:response_language": lambda x, k: response_language(x, k["language"]),
+    "detectable_format:rephrase": lambda x, k: rephrased(x, k["original_message"]),
+    "detectable_content:rephrase_paragraph": lambda x, k: rephrased_paragraph(x, k["original_paragraph"], k["low"].cast("int"), k["high"].cast("int")),
 }
-
-
-def check(text: Column, id: Column, arguments: Column, only: tuple[str, ...] | None = None) -> Column:
-    """The checker of the row's instruction id; NULL for unknown ids and missing arguments. ``only`` keeps the dispatch short."""
+#: Checkers that can't be expressions: they are worked out once a text, before the instructions of a row are gone through.
+BY_TEXT = {"detectable_format:json_format": json_valid, "detectable_format:xml_format": xml_valid}
+
+
+def register(id: str, checker) -> None:
+    """Adds a checker: ``checker(text, arguments)`` gives a boolean Column, ``arguments`` being a map<string,string>. Known ids raise."""
+    if id in REGISTRY:
+        raise ValueError(f"checker {id!r} is registered already")
+    REGISTRY[id] = checker
+
+
+def conflicts() -> list[tuple[str, str]]:
+    """Pairs of registered instructions that can't hold together, closed under swapping; every instruction conflicts with itself.
+
+    Fixed values: what each id conflicts with, or (``but``) all ids but those.
+    """
+    no_text = {"keywords:forbidden_words", "keywords:existence", "keywords:frequency"}
+    only = {
+        "language:response_language": {"detectable_format:multiple_sections", "keywords:existence", "keywords:frequency", "keywords:forbidden_words", "startend:end_checker", "change_case:english_capital", "change_case:english_lowercase"},
+        "length_constraints:number_paragraphs": {"length_constraints:nth_paragraph_first_word", "length_constraints:number_sentences"},
+        "length_constraints:nth_paragraph_first_word": {"length_constraints:number_paragraphs"},
+        "detectable_format:multiple_sections": {"language:response_language", "detectable_format:number_highlighted_sections", "length_constraints:number_paragraphs"},
+        "change_case:capital_word_frequency": {"change_case:english_lowercase", "change_case:english_capital"},
+        "change_case:english_lowercase": {"change_case:english_capital"},
+        "startend:quotation": {"detectable_format:title"},
+    }
+    but = {
+        "detectable_format:constrained_response": set(),
+        "detectable_format:json_format": no_text,
+        "detectable_format:xml_format": no_text,
+        "combination:two_responses": {"keywords:forbidden_words", "keywords:existence", "language:response_language", "detectable_format:title", "punctuation:no_comma", "startend:quotation"},
+        "combination:repeat_prompt": {"keywords:existence", "detectable_format:title", "punctuation:no_comma"},
+    }
+    ids = [i for i in REGISTRY if i not in ("multi-turn:constrained_start", "detectable_format:rephrase", "detectable_content:rephrase_paragraph")]
+    pairs = {(i, i) for i in ids} | {(i, j) for i, js in only.items() for j in js} | {(i, j) for i, left in but.items() for j in ids if j not in left}
+    return sorted(pairs | {(j, i) for i, j in pairs})
+
+
+def check(text: Column, id: Column, arguments: Column, only: tuple[str, ...] | None = None, known: dict[str, Column] | None = None) -> Column:
+    """The checker of the row's instruction id; NULL for unknown ids and missing arguments. ``only`` keeps the dispatch short, ``known``
+    holds results of checkers that were worked out before."""
     out = F.lit(None).cast("boolean")
     for name in only or REGISTRY:
-        out = F.when(id == name, REGISTRY[name](text, arguments)).otherwise(out)
+        out = F.when(id == name, known[name] if known and name in known else REGISTRY[name](text, arguments)).otherwise(out)
     return out
 
 
+def followed(text: Column, ids: Column, arguments: Column, only: tuple[str, ...] | None = None, known: dict[str, Column] | None = None) -> Column:
+    """For every instruction of the row whether the text follows it, within the row; a blank text, an unknown id or a missing argument is false."""
+    full = strip(text) != ""
+    one = lambda i: F.coalesce(full & check(text, i["ids"], i["arguments"], only, known), F.lit(False))
+    return F.transform(F.arrays_zip(ids.alias("ids"), arguments.alias("arguments")), one)
+
+
+def followed_loosely(text: Column, ids: Column, arguments: Column, only: tuple[str, ...] | None = None) -> Column:
+    """As :func:`followed`, but any of the loose variants of the text will do. Nothing is exploded or shuffled."""
+
+    def of(variants: Column) -> Column:
+        one = lambda i: F.exists(variants, lambda v: F.coalesce((strip(v) != "") & check(v, i["ids"], i["arguments"], only), F.lit(False)))
+        return F.transform(F.arrays_zip(ids.alias("ids"), arguments.alias("arguments")), one)
+
+    return let(loose_variants(text), of)
+
+
 def loose_variants(x: Column) -> Column:
     """The text without its first line, last line or both, each also without asterisks."""
     lines = F.split(x, "\n", -1)

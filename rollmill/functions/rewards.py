@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollmill.functions import arrays as A
-from rollmill.functions import text as X
+from rollmill.functions import flat
 
 #: Fixed value: tokens that must be left before the length limit.
 MARGIN = 16
@@ -41,12 +40,20 @@ def repetition_dense(items: Column, n: int, penalty: float, only_start: bool = F
 
     With ``only_start`` a repeated n-gram counts if it starts behind the end of the repeated n-gram before it, counted or not.
     """
-    starts = X.repeated_starts(items, n)
-    if only_start:
-        spaced = lambda own: F.filter(own, lambda s, i: (i == 0) | (s > F.get(own, F.greatest(i - 1, F.lit(0))) + n))
-        starts = A.let(starts, spaced)
-    return A.let(starts, lambda own: F.transform(items, lambda _, i: F.when(F.exists(own, lambda s: (i >= s) & (i < s + n)), F.lit(penalty)).otherwise(F.lit(0.0))))
+    return flat.repeated_marks(items, n, penalty, only_start)
 
 
-#: Sparse rewards by name.
+#: Sparse rewards, and the dense one, by name.
 REWARDS = {"classic": classic, "cosine": cosine, "length_scaled": length_scaled, "repetition": repetition_dense}
+#: The addresses that name a rule-based reward, and how all of them begin.
+ADDRESSES = {"math_rule": "classic", "math_rule_cosine_scale": "cosine", "math_rule_len_scale": "length_scaled", "math_rule_repetition_dense": "repetition"}
+RULE_ADDRESS = "math_rule"
+
+
+def selected(address: str):
+    """(name, reward) that an address names; None for addresses of other kinds. A rule-based address that is unknown raises."""
+    if not address.startswith(RULE_ADDRESS):
+        return None
+    if address not in ADDRESSES:
+        raise ValueError(f"unknown reward {address!r}; known: {', '.join(ADDRESSES)}")
+    return ADDRESSES[address], REWARDS[ADDRESSES[address]]

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_of(position: Column, n: int) -> Column:
-    """The group of n consecutive rows that a position belongs to."""
-    return F.floor(position / n).cast("bigint")
+def group_of(position: Column, n: int, total: Column | int | None = None) -> Column:
+    """The group of n consecutive rows that a position belongs to. With ``total``, a number of rows that n doesn't divide is an error."""
+    group = F.floor(position / n).cast("bigint")
+    if total is None:
+        return group
+    total = F.lit(total) if isinstance(total, int) else total
+    return F.when(F.pmod(total, F.lit(n)) == 0, group).otherwise(F.raise_error(F.concat(F.lit(f"not divisible by {n}: "), total.cast("string"))).cast("bigint"))
 
 
 def leave_one_out(reward: str, group: str) -> Column:
@@ -48,17 +52,19 @@ def superior_filter(df: DataFrame, prompt: str = "prompt", reward: str = "reward
 
     By prompt without suffix: if a key has samples with reasoning, its samples without get False; if it has both, the best reward with
     reasoning is below the worst without, and the rewards with reasoning aren't all equal, those get False too. Keys with only one kind
-    keep their flags. One shuffle by key, no join. NULL rewards don't count.
+    keep their flags. NULL rewards don't count. One row a key is aggregated (combined before its shuffle) and joined back, so a key that holds
+    a large part of the table is never gathered. NULL prompts share a key.
     """
     key = prompt_key(F.col(prompt))
-    rows = df.withColumn("_key", key).withColumn("_plain", F.col(prompt).endswith(NO_REASONING))
-    w = Window.partitionBy("_key")
-    with_ = F.when(~F.col("_plain"), F.col(reward))
-    without = F.when(F.col("_plain"), F.col(reward))
-    n_with = F.sum(F.when(~F.col("_plain"), 1).otherwise(0)).over(w)
-    fails = (F.max(with_).over(w) < F.min(without).over(w)) & (F.min(with_).over(w) != F.max(with_).over(w))
-    kept = F.when(F.col("_plain") & (n_with > 0), F.lit(False)).when(~F.col("_plain") & F.coalesce(fails, F.lit(False)), F.lit(False)).otherwise(F.col(flag))
-    return rows.withColumn("kept", kept).drop("_key", "_plain")
+    rows = df.withColumn("_key", key).withColumn("_plain", F.coalesce(F.col(prompt).endswith(NO_REASONING), F.lit(False)))
+    with_, without = F.when(~F.col("_plain"), F.col(reward)), F.when(F.col("_plain"), F.col(reward))
+    n_with = F.count(F.when(~F.col("_plain"), 1)).alias("_n_with")
+    keys = rows.groupBy("_key").agg(n_with, F.max(with_).alias("_best"), F.min(with_).alias("_least"), F.min(without).alias("_bare"))
+    fails = F.coalesce((F.col("_best") < F.col("_bare")) & (F.col("_least") != F.col("_best")), F.lit(False))
+    keys = keys.select(F.col("_key").alias("_k"), (F.col("_n_with") > 0).alias("_reasoned"), fails.alias("_fails"))
+    joined = rows.join(keys, F.col("_key").eqNullSafe(F.col("_k")))
+    off = (F.col("_plain") & F.col("_reasoned")) | (~F.col("_plain") & F.col("_fails"))
+    return joined.withColumn("kept", F.when(off, F.lit(False)).otherwise(F.col(flag))).drop("_key", "_k", "_plain", "_reasoned", "_fails")
 
 
 def cyclic_pairs(df: DataFrame, batch: str, order: str, response: str, out: str) -> DataFrame:

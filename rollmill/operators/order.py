@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from rollmill.plans.store import written
 
@@ -21,22 +22,62 @@ def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_base") + F.col("_own") - 1).cast("bigint")).drop("_part", "_own", "_base")
 
 
+#: Rows up to which a prefix is a top-k; longer ones are cut between range partitions.
+TOP_K = 100_000
+#: Accuracy of the quantiles between which a stretch of rows is looked for.
+ACCURACY = 10_000
+
+
+def between(df: DataFrame, start: int, stop: int, *order: str, total: int | None = None) -> DataFrame:
+    """The rows at positions [start, stop) by ``order`` (a unique key), NULL keys first.
+
+    For a single numeric key two approximate quantiles, one aggregate, enclose the stretch; the rows before it are counted exactly and only
+    those inside are sorted and written. Where that isn't possible, or the quantiles miss, all rows are numbered. The result is the same.
+    """
+    start, stop = max(0, start), max(0, stop)
+    if stop <= start:
+        return df.limit(0)
+    kind = df.schema[order[0]].dataType
+    if len(order) == 1 and isinstance(kind, NumericType):
+        key = F.col(order[0])
+        total = df.count() if total is None else total
+        share = [min(1.0, max(0.0, x / max(1, total))) for x in (start - 2 * total / ACCURACY - 1, stop + 2 * total / ACCURACY + 1)]
+        low, high = df.agg(F.percentile_approx(key, share, ACCURACY).alias("q")).first().q or (None, None)
+        if low is not None:
+            low = None if share[0] == 0 else low
+            high = None if share[1] == 1 else high
+            before = F.lit(False) if low is None else key.isNull() | (key < F.lit(low))
+            inside = ~before & (F.lit(True) if high is None else key.isNull() | (key <= F.lit(high)))
+            counts = df.agg(F.count(F.when(before, 1)).alias("b"), F.count(F.when(inside, 1)).alias("i")).first()
+            if counts.b <= start and (counts.b + counts.i >= min(stop, total)):
+                placed = positions(df.where(inside), *order, name="_pos")
+                return placed.where((F.col("_pos") >= start - counts.b) & (F.col("_pos") < stop - counts.b)).drop("_pos")
+    placed = positions(df, *order, name="_pos")
+    return placed.where((F.col("_pos") >= start) & (F.col("_pos") < stop)).drop("_pos")
+
+
 def prefix(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows by ``order``: a top-k, never a full sort. Fewer rows give all, n <= 0 none."""
-    return df.orderBy(*order).limit(max(0, n))
+    """The first n rows by ``order``: a top-k, or for more than ``TOP_K`` rows the stretch from the beginning. Fewer rows give all, n <= 0 none."""
+    return df.orderBy(*order).limit(max(0, n)) if n <= TOP_K else between(df, 0, n, *order)
 
 
 def eval_split(df: DataFrame, *order: str, share: float = 0.03) -> DataFrame:
     """The first int(rows * share) rows by ``order``."""
-    placed = positions(df, *order, name="_pos")
-    size = placed.agg(F.floor(F.count("*") * F.lit(share)).alias("_size"))
-    return placed.crossJoin(F.broadcast(size)).where(F.col("_pos") < F.col("_size")).drop("_pos", "_size")
+    total = df.count()
+    return between(df, 0, int(total * share), *order, total=total)
 
 
 def iteration_slice(df: DataFrame, iteration: int, size: int, *order: str) -> DataFrame:
     """Rows at positions [iteration * size, (iteration + 1) * size)."""
-    placed = positions(df, *order, name="_pos")
-    return placed.where((F.col("_pos") >= iteration * size) & (F.col("_pos") < (iteration + 1) * size)).drop("_pos")
+    return between(df, iteration * size, (iteration + 1) * size, *order)
+
+
+def split_or_whole(splits: dict[str, DataFrame], wanted: str, n: int | None, *order: str) -> DataFrame:
+    """The wanted split, or the only table where that split is missing, cut to its first ``n`` rows. Without both it raises."""
+    if wanted not in splits and len(splits) != 1:
+        raise ValueError(f"no split {wanted!r} among {', '.join(sorted(splits))}")
+    own = splits.get(wanted) if wanted in splits else next(iter(splits.values()))
+    return own if n is None else prefix(own, n, *order)
 
 
 def scattered(key: Column, seed: int) -> Column:
@@ -75,18 +116,19 @@ def expand_contrast(df: DataFrame, n: int, prompt: str, task: str, suffix: str =
     return out.withColumn("reasoning", ~contrast).withColumn(prompt, F.when(contrast, F.concat(bare, F.lit(suffix))).otherwise(F.col(prompt)))
 
 
-def shard(df: DataFrame, position: str, replicas: int, total: Column | int, pad: bool = True) -> DataFrame:
+def shard(df: DataFrame, position: str, replicas: int, total: Column | int, pad: bool = True, consumed: int = 0) -> DataFrame:
     """``rank`` and ``turn`` of every row: position modulo and divided by replicas. Padding repeats rows from the head until all ranks
-    have equally many; without it the uneven tail is dropped."""
+    have equally many; without it the uneven tail is dropped. The first ``consumed // replicas`` turns of every rank are skipped."""
     total = F.lit(total) if isinstance(total, int) else total
     row = df.select("*", F.pmod(F.col(position), F.lit(replicas)).cast("int").alias("rank"), F.floor(F.col(position) / replicas).cast("bigint").alias("turn"), F.lit(False).alias("padded"))
     each = F.ceil(total / replicas) if pad else F.floor(total / replicas)
+    skipped = consumed // replicas
     if not pad:
-        return row.where(F.col("turn") < each)
+        return row.where((F.col("turn") < each) & (F.col("turn") >= skipped))
     missing = each * replicas - total
     at = total + F.col(position)
     head = df.where(F.col(position) < missing).select("*", F.pmod(at, F.lit(replicas)).cast("int").alias("rank"), F.floor(at / replicas).cast("bigint").alias("turn"), F.lit(True).alias("padded"))
-    return row.unionByName(head)
+    return row.unionByName(head).where(F.col("turn") >= skipped)
 
 
 def contiguous(position: Column, total: Column | int, parts: int) -> Column:

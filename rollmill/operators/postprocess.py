@@ -12,7 +12,9 @@ def comparable(reward: str) -> Column:
 
 
 def best_of_n(df: DataFrame, key: str = "input", value: str = "output", reward: str = "reward", order: str = "seq") -> DataFrame:
-    """Per key the row of highest reward, the first by ``order`` on ties: one hash aggregate, no sort.
+    """Per key the row of highest reward, the first by ``order`` on ties.
+
+    One aggregate, combined before its shuffle. Its state is a struct with text, so the engine sorts for it; nothing is ranked or gathered.
 
     Null keys form a group of their own; a group whose rewards are all NULL or NaN gives no row.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollmill.functions.text import strip
+from rollmill.functions.text import finish, strip
 
 
 def present(df: DataFrame, name: str) -> Column:
@@ -88,6 +88,43 @@ def few_shot(examples: Column, question: Column, shots: int, separator: str = "\
     return F.concat(F.array_join(shown, separator), F.lit(separator if shots else ""), F.lit("Question: "), question, F.lit("\nAnswer:"))
 
 
+def paired_rows(
+    df: DataFrame, chosen: str, rejected: str, prompt: str | None = None, margin: str | None = None, messages: bool = False, template: str | None = None, dpo: bool = False, eos: str | None = None
+) -> DataFrame:
+    """``prompt``, ``chosen``, ``rejected`` and ``margin`` of paired preferences, whichever form they have.
+
+    Texts: the prompt (in its template, '' without a prompt column) and both answers. ``messages``: arrays of (role, content). With a prompt
+    column, that conversation is rendered with an open assistant turn and the answers are what follows it; without one, whole conversations
+    are rendered, and for ``dpo`` all but the last turn are the prompt, which is cut off both answers. A missing margin is 0. With ``eos``
+    the answers lose trailing line breaks and end in that mark.
+    """
+    m = F.coalesce(F.col(margin), F.lit(0.0)) if margin and margin in df.columns else F.lit(0.0)
+    if messages:
+        sides = [F.col(c) for c in (chosen, rejected)]
+        if prompt:
+            head = render_chat(F.col(prompt), True)
+            whole = [render_chat(F.concat(F.col(prompt), s)) for s in sides]
+        elif dpo:
+            head = render_chat(F.slice(sides[0], F.lit(1), F.greatest(F.size(sides[0]) - 1, F.lit(0))), True)
+            whole = [render_chat(s) for s in sides]
+        else:
+            head, whole = F.lit(""), [render_chat(s) for s in sides]
+        answers = [F.substring(w, F.length(head) + 1, F.length(w)) for w in whole]
+    else:
+        head = F.coalesce(F.col(prompt), F.lit("")) if prompt else F.lit("")
+        head = fill_template(template, head) if template and prompt else head
+        answers = [F.col(chosen), F.col(rejected)]
+    if eos:
+        answers = [finish(F.lit(""), a, eos) for a in answers]
+    kept = [c for c in df.columns if c not in (prompt, chosen, rejected, margin, "prompt", "chosen", "rejected", "margin")]
+    return df.select(*kept, head.alias("prompt"), answers[0].alias("chosen"), answers[1].alias("rejected"), m.alias("margin"))
+
+
+def inference_prompt(prompt: Column, suffix: str) -> Column:
+    """A prompt with the suffix that reward-conditioned training gave it, stripped and closed by one blank."""
+    return F.concat(prompt, F.lit(suffix.strip() + " "))
+
+
 def user_text(x: Column) -> Column:
     """The last user text of a rendered prompt in any of five encodings; other text as it is."""
     after = lambda mark: F.substring_index(x, mark, -1)

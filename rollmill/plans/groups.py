@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollmill.operators import groups, order, postprocess
+from rollmill.operators import groups, order, postprocess, shape
 from rollmill.plans.tables import table
 
 N = 8
@@ -130,7 +130,7 @@ def reward_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def iterative_dpo(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "scored_samples").where(F.col("input").isNotNull() & F.col("output").isNotNull()).withColumn("output", F.col("seq"))
+    rows = table(spark, folder, "scored_samples").where(F.col("input").isNotNull() & F.col("output").isNotNull())
     return postprocess.chosen_rejected(rows)
 
 
@@ -140,7 +140,7 @@ def conditional_sft(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csft_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sft_pairs").where(F.col("prompt").isNotNull()).select("seq", F.concat("prompt", F.lit("<score: 5.00> ")).alias("prompt"))
+    return table(spark, folder, "sft_pairs").where(F.col("prompt").isNotNull()).select("seq", shape.inference_prompt(F.col("prompt"), " <score: 5.00>\n").alias("prompt"))
 
 
 def reward_histogram(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +226,7 @@ SQL = {
     "reward_zscore": f"WITH v AS (SELECT seq, {_FINITE} AS r FROM scored_samples), s AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM v) SELECT seq, round((r - m) / nullif(d, 0), 6) AS reward FROM v, s",
     "reward_stats": f"WITH v AS (SELECT {_FINITE} AS r FROM scored_samples) SELECT count(r) AS n, round(avg(r), 6) AS mean_reward, round(stddev_samp(r), 6) AS std_reward FROM v",
     "iterative_dpo": """
-        SELECT input AS prompt, arg_max(seq, (reward, -seq)) AS chosen, max(reward) AS chosen_reward, arg_min(seq, (reward, seq)) AS rejected, min(reward) AS rejected_reward
+        SELECT input AS prompt, arg_max(output, (reward, -seq)) AS chosen, max(reward) AS chosen_reward, arg_min(output, (reward, seq)) AS rejected, min(reward) AS rejected_reward
         FROM scored_samples WHERE input IS NOT NULL AND output IS NOT NULL AND reward IS NOT NULL AND NOT isnan(reward) GROUP BY 1
     """,
     "conditional_sft": """

@@ -14,13 +14,13 @@ def _samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rejection_sampling(spark: SparkSession, folder: str) -> DataFrame:
-    return postprocess.best_of_n(_samples(spark, folder)).select("input", "seq", "reward")
+    return postprocess.best_of_n(_samples(spark, folder)).select("input", "output", "seq", "reward")
 
 
 QUERIES = {"rejection_sampling": rejection_sampling}
 SQL = {
     "rejection_sampling": """
-        SELECT input, seq, reward FROM scored_samples
+        SELECT input, output, seq, reward FROM scored_samples
         WHERE input IS NOT NULL AND output IS NOT NULL AND reward IS NOT NULL AND NOT isnan(reward)
         QUALIFY row_number() OVER (PARTITION BY input ORDER BY reward DESC, seq) = 1
     """,

@@ -15,19 +15,19 @@ from rollmill.streaming import state
 def sft_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "sft_pairs").select("seq", "prompt", "response")
     out = shape.sft_rows(rows, "prompt", "response", n_words(F.col("prompt")), 42, "Human: {}\nAssistant: ")
-    return out.select("seq", "prompt_ids_len", F.length("prompt").alias("n_prompt"), F.length("response").alias("n_response"))
+    return out.select("seq", "prompt_ids_len", "prompt", "response")
 
 
 def pretrain_rows(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", F.col("text").alias("response"), F.lit(None).cast("string").alias("prompt"))
-    return shape.sft_rows(rows, "prompt", "response", F.lit(0), 0, pretrain=True).select("doc_id", "prompt_ids_len", F.length("response").alias("n"))
+    return shape.sft_rows(rows, "prompt", "response", F.lit(0), 0, pretrain=True).select("doc_id", "prompt_ids_len", "response")
 
 
 def chat_messages(spark, folder):
     rows = table(spark, folder, "sft_pairs").where(F.col("prompt").isNotNull() & F.col("response").isNotNull())
     m = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")))
     full, head = shape.render_chat(m), shape.render_chat(F.slice(m, 1, 1), True)
-    return rows.select("seq", F.length(full).alias("n_full"), F.length(head).alias("n_prompt"), F.length(F.substring(full, F.length(head) + 1, F.length(full))).alias("n_response"))
+    return rows.select("seq", head.alias("prompt"), F.substring(full, F.length(head) + 1, F.length(full)).alias("response"))
 
 
 def multiturn_ranges(spark, folder):
@@ -40,26 +40,26 @@ def multiturn_ranges(spark, folder):
 def preference_rows(spark, folder):
     rows = table(spark, folder, "preference_pairs").drop("added_at")
     out = shape.preference_rows(rows, "prompt", "chosen", "rejected", "margin", n_words(F.coalesce("prompt", F.lit(""))), 40, True)
-    return out.select("seq", "margin", "prompt_ids_len", F.length("chosen").alias("n_chosen"), F.length("rejected").alias("n_rejected"))
+    return out.select("seq", "margin", "prompt_ids_len", "prompt", "chosen", "rejected")
 
 
 def unpaired_rows(spark, folder):
     rows = table(spark, folder, "sft_pairs").where(F.col("prompt").isNotNull()).select("seq", "prompt", "response")
-    return shape.unpaired_rows(rows, "prompt", "response", F.col("seq") % 2, n_words(F.col("prompt")), 40).select("seq", "label", "prompt_ids_len")
+    return shape.unpaired_rows(rows, "prompt", "response", F.col("seq") % 2, n_words(F.col("prompt")), 40).select("seq", "label", "prompt_ids_len", "prompt", "response")
 
 
 def prompt_rows(spark, folder):
     rows = table(spark, folder, "box_prompts").where(F.col("input").isNotNull()).select("seq", "input", "target")
-    return shape.prompt_rows(rows, "input", "target", "Q: {}").select("seq", F.length("prompt").alias("n_prompt"), F.length("label").alias("n_label"))
+    return shape.prompt_rows(rows, "input", "target", "Q: {}").select("seq", "prompt", "label")
 
 
 def user_contents(spark, folder):
-    return table(spark, folder, "box_prompts").where(F.col("input").isNotNull()).select("seq", F.length(shape.user_text(F.col("input"))).alias("n"))
+    return table(spark, folder, "box_prompts").where(F.col("input").isNotNull()).select("seq", shape.user_text(F.col("input")).alias("text"))
 
 
 def few_shot_prompts(spark, folder):
     examples = F.array(*[F.struct(F.lit(f"What is {i} + {i}?").alias("question"), F.lit(str(2 * i)).alias("answer")) for i in range(1, 4)])
-    return table(spark, folder, "eval_items").select("item_id", F.length(shape.few_shot(examples, F.col("text"), 2)).alias("n"))
+    return table(spark, folder, "eval_items").select("item_id", shape.few_shot(examples, F.col("text"), 2).alias("prompt"))
 
 
 def concat_sides(spark, folder):
@@ -128,9 +128,9 @@ _BLEND = lambda w, stop: f"""
     SELECT CAST(no AS INTEGER) AS source_no, turn, doc_id, round((i + 0.5) / p, 6) AS rank FROM x WHERE i + 0.5 < until * p
 """
 SQL = {
-    "sft_rows": f"SELECT seq, CAST({_NW('prompt')} AS INTEGER) AS prompt_ids_len, CAST(length(prompt) + 19 AS INTEGER) AS n_prompt, CAST(length(response) AS INTEGER) AS n_response FROM sft_pairs WHERE prompt <> '' AND response <> '' AND {_NW('prompt')} < 40",
-    "pretrain_rows": "SELECT doc_id, 0 AS prompt_ids_len, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text <> ''",
-    "chat_messages": "SELECT seq, CAST(length(prompt) + length(response) + 61 AS INTEGER) AS n_full, CAST(length(prompt) + 50 AS INTEGER) AS n_prompt, CAST(length(response) + 11 AS INTEGER) AS n_response FROM sft_pairs WHERE prompt IS NOT NULL AND response IS NOT NULL",
+    "sft_rows": f"SELECT seq, CAST({_NW('prompt')} AS INTEGER) AS prompt_ids_len, 'Human: ' || prompt || chr(10) || 'Assistant: ' AS prompt, response FROM sft_pairs WHERE prompt <> '' AND response <> '' AND {_NW('prompt')} < 40",
+    "pretrain_rows": "SELECT doc_id, 0 AS prompt_ids_len, text AS response FROM documents WHERE text <> ''",
+    "chat_messages": "SELECT seq, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt, response || '<|im_end|>' || chr(10) AS response FROM sft_pairs WHERE prompt IS NOT NULL AND response IS NOT NULL",
     "multiturn_ranges": """
         WITH p AS (SELECT seq, regexp_replace(chr(10) || prompt, '\\n(User|Assistant): ?', chr(1) || '\\1' || chr(2), 'g') AS m FROM sft_pairs WHERE prompt LIKE 'User: %'),
         t AS (SELECT seq, unnest(list_filter(string_split(m, chr(1)), lambda q: contains(q, chr(2)))) AS part, unnest(range(len(list_filter(string_split(m, chr(1)), lambda q: contains(q, chr(2)))))) AS turn FROM p),
@@ -138,16 +138,16 @@ SQL = {
         s AS (SELECT seq, turn, role, n, coalesce(sum(n) OVER (PARTITION BY seq ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM c)
         SELECT seq, CAST(turn AS INTEGER) AS turn, CAST(start_pos AS INTEGER) AS start_pos, CAST(start_pos + n - 1 AS INTEGER) AS end_pos FROM s WHERE role = 'assistant'
     """,
-    "preference_rows": f"SELECT seq, coalesce(margin, 0) AS margin, CAST({_NW('coalesce(prompt, chr(32))')} AS INTEGER) AS prompt_ids_len, CAST(length(chosen) AS INTEGER) AS n_chosen, CAST(length(rejected) AS INTEGER) AS n_rejected FROM preference_pairs WHERE {_NW('coalesce(prompt, chr(32))')} < 38",
-    "unpaired_rows": f"SELECT seq, CAST(seq % 2 AS INTEGER) AS label, CAST({_NW('prompt')} AS INTEGER) AS prompt_ids_len FROM sft_pairs WHERE prompt IS NOT NULL AND {_NW('prompt')} < 38",
-    "prompt_rows": "SELECT seq, CAST(length(input) + 3 AS INTEGER) AS n_prompt, CAST(length(coalesce(target, '')) AS INTEGER) AS n_label FROM box_prompts WHERE input IS NOT NULL",
+    "preference_rows": f"SELECT seq, coalesce(margin, 0) AS margin, CAST({_NW('coalesce(prompt, chr(32))')} AS INTEGER) AS prompt_ids_len, coalesce(prompt, '') AS prompt, chosen, rejected FROM preference_pairs WHERE {_NW('coalesce(prompt, chr(32))')} < 38",
+    "unpaired_rows": f"SELECT seq, CAST(seq % 2 AS INTEGER) AS label, CAST({_NW('prompt')} AS INTEGER) AS prompt_ids_len, prompt, response FROM sft_pairs WHERE prompt IS NOT NULL AND {_NW('prompt')} < 38",
+    "prompt_rows": "SELECT seq, 'Q: ' || input AS prompt, coalesce(target, '') AS label FROM box_prompts WHERE input IS NOT NULL",
     "user_contents": """
         WITH u AS (SELECT seq, CASE WHEN contains(input, '<|im_start|>user' || chr(10)) THEN string_split(string_split(input, '<|im_start|>user' || chr(10))[-1], '<|im_end|>')[1]
             WHEN contains(input, '<｜User｜>') THEN string_split(string_split(input, '<｜User｜>')[-1], '<｜Assistant｜>')[1] WHEN contains(input, 'user<|end_header_id|>') THEN string_split(string_split(input, 'user<|end_header_id|>')[-1], '<|eot_id|>')[1]
             WHEN contains(input, '[INST]') THEN string_split(string_split(input, '[INST]')[-1], '[/INST]')[1] WHEN contains(input, 'User:') THEN string_split(string_split(input, 'User:')[-1], 'Assistant:')[1] ELSE input END AS t FROM box_prompts WHERE input IS NOT NULL)
-        SELECT seq, CAST(length(regexp_replace(t, '^[\\s\\x{00a0}\\x{3000}]+|[\\s\\x{00a0}\\x{3000}]+$', '', 'g')) AS INTEGER) AS n FROM u
+        SELECT seq, regexp_replace(t, '^[\\s\\x{00a0}\\x{3000}]+|[\\s\\x{00a0}\\x{3000}]+$', '', 'g') AS text FROM u
     """,
-    "few_shot_prompts": "SELECT item_id, CAST(length('Question: What is 1 + 1?' || chr(10) || 'Answer: 2') * 2 + 4 + length('Question: ' || text || chr(10) || 'Answer:') AS INTEGER) AS n FROM eval_items",
+    "few_shot_prompts": "SELECT item_id, 'Question: What is 1 + 1?' || chr(10) || 'Answer: 2' || chr(10) || chr(10) || 'Question: What is 2 + 2?' || chr(10) || 'Answer: 4' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM eval_items",
     "concat_sides": "SELECT side, count(t) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT 0 AS side, chosen AS t FROM preference_pairs UNION ALL SELECT 1, rejected FROM preference_pairs) GROUP BY 1",
     "conflict_table": "WITH p AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS a, event_type AS b FROM events), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) SELECT DISTINCT a, b FROM q WHERE a <> b",
     "zip_join": "WITH a AS (SELECT seq, prompt_len, row_number() OVER (ORDER BY seq) - 1 AS pos FROM sft_pairs), b AS (SELECT seq AS box_seq, row_number() OVER (ORDER BY seq) - 1 AS pos FROM box_prompts) SELECT pos, seq, box_seq, prompt_len FROM a JOIN b USING (pos)",

@@ -1,7 +1,7 @@
 """Intermediate tables that survive the loss of executors.
 
 They are written to the shared folder named by ``spark.checkpoint.dir``. Only when that setting is
-absent (tests, a single machine) a temporary folder is made and used.
+absent on a single machine (tests) a temporary folder is made and used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="rollmill-")
@@ -34,13 +38,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rollmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing reads them any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = file.rpartition("/")[0]
+        _delete(spark, path)
+        own = _written.get(spark.sparkContext.applicationId, set())
+        own.difference_update({p for p in own if p.rpartition("/")[2] == path.rpartition("/")[2]})
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every table that this application wrote and hasn't discarded; results that read them are void then. Returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

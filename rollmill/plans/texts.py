@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.functions import answers as N
+from rollmill.functions import chat, scoring, steps
 from rollmill.functions import checkers as C
+from rollmill.functions import languages as G
 from rollmill.functions import rewards as R
 from rollmill.functions import text as X
+from rollmill.functions.sentences import sentences_of
 from rollmill.plans.tables import table
 
 
@@ -21,11 +24,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_tags(spark, folder):
-    return _answers(spark, folder).select("seq", F.length(X.think_of(F.col("x"))).alias("think_length"), F.length(X.answer_of(F.col("x"))).alias("answer_length"))
+    return _answers(spark, folder).select("seq", X.think_of(F.col("x")).alias("think"), X.answer_of(F.col("x")).alias("answer"))
 
 
 def extract_after_thinking(spark, folder):
-    return _answers(spark, folder).select("seq", F.length(X.answer_of(F.col("x"), "deepseek")).alias("answer_length"))
+    return _answers(spark, folder).select("seq", X.answer_of(F.col("x"), "deepseek").alias("answer"))
 
 
 def validate_structure(spark, folder):
@@ -73,12 +76,12 @@ def _sequences(spark, folder):
         .when(k == 2, F.lit("<|start_header_id|>user<|end_header_id|>Hi<|start_header_id|>assistant<|end_header_id|>")).when(k == 3, F.lit("[INST] Hi [/INST]")).when(k == 4, F.lit("User: Hi\nAssistant:")).otherwise(F.lit("Hi "))
     )
     end = F.when(k == 0, F.lit("<|im_end|>")).when(k == 1, F.lit("<｜end▁of▁sentence｜>")).when(k == 2, F.lit("<|eot_id|>")).otherwise(F.lit("</s>"))
-    return _answers(spark, folder).select("seq", F.length(body).alias("body_length"), F.concat(head, body, end, F.lit("rest")).alias("x"))
+    return _answers(spark, folder).select("seq", F.concat(head, body, end, F.lit("rest")).alias("x"))
 
 
 def sequence_route(spark, folder):
     x = F.col("x")
-    return _sequences(spark, folder).select("seq", X.template_of(x).alias("template"), F.length(X.model_output(x)).alias("output_length"))
+    return _sequences(spark, folder).select("seq", X.template_of(x).alias("template"), X.model_output(x).alias("output"))
 
 
 def ngram_counts(spark, folder):
@@ -97,18 +100,18 @@ def repetition_dense(spark, folder):
 
 def strip_marks(spark, folder):
     x = F.concat(F.lit("<pad><pad></s>"), F.col("x"), F.lit("</s></s><pad>"))
-    return _answers(spark, folder).select("seq", F.length(X.strip_marks(x, "</s>", "<pad>")).alias("n"))
+    return _answers(spark, folder).select("seq", X.strip_marks(x, "</s>", "<pad>").alias("text"))
 
 
 def finish_text(spark, folder):
     t = X.finish(F.coalesce("prompt", F.lit("")), F.col("x"), "</s>")
-    return _answers(spark, folder).select("seq", F.length(t).alias("n"), t.endswith(" </s>").alias("appended"))
+    return _answers(spark, folder).select("seq", t.alias("text"))
 
 
 def box_prompts_thinking(spark, folder):
     rows = table(spark, folder, "box_prompts").where(F.col("input").isNotNull())
     p = X.with_thinking(F.col("input"))
-    return rows.select("seq", F.length(p).alias("n"), p.endswith("<think>\n").alias("opened"), F.coalesce("task", F.lit("default")).alias("task"))
+    return rows.select("seq", p.alias("prompt"), F.coalesce("task", F.lit("default")).alias("task"))
 
 
 def task_scores(spark, folder):
@@ -145,9 +148,10 @@ def parse_numbers(spark, folder):
 
 
 def canonical_equal(spark, folder):
-    """Pairs that are equal in canonical form, beside a plain comparison."""
-    d = F.col("event_id") % 9 + 1
-    a, b = F.concat(F.lit("\\dfrac{"), d.cast("string"), F.lit("}{7}")), F.concat(F.when(F.col("event_id") % 2 == 0, d).otherwise(d + 1).cast("string"), F.lit("/7"))
+    """Fractions in two spellings: equal in canonical form, and equal in value (halves and two quarters, say)."""
+    n = F.col("event_id")
+    part = lambda by, of, more: (F.floor(n / by) % of + more).cast("string")
+    a, b = F.concat(F.lit("\\dfrac{"), part(1, 9, 1), F.lit("}{"), part(1, 5, 2), F.lit("}")), F.concat(part(7, 9, 1), F.lit("/"), part(3, 5, 2))
     return table(spark, folder, "events").select("event_id", N.equivalent(a, b).alias("same"), N.maths_equal(a, b).alias("equal"))
 
 
@@ -169,9 +173,24 @@ def judge_pairs(spark, folder):
     """A YES and a NO row for every scoring question of a prompt."""
     rows = table(spark, folder, "box_prompts").where(F.col("task").startswith("complex"))
     q = rows.select("seq", F.posexplode(F.from_json(F.get_json_object("target", "$.scoring_questions"), "array<string>")).alias("q_pos", "question"))
-    return q.select("seq", "q_pos", F.explode(F.array(F.lit("YES"), F.lit("NO"))).alias("verdict"), F.length("question").alias("n"))
+    return q.select("seq", "q_pos", F.explode(F.array(F.lit("YES"), F.lit("NO"))).alias("verdict"), "question")
 
 
+_RE2 = {"IsHiragana": "Hiragana", "IsKatakana": "Katakana", "IsHangul": "Hangul", "IsHan": "Han", "IsCyrillic": "Cyrillic", "IsArabic": "Arabic", "IsHebrew": "Hebrew", "IsGreek": "Greek", "IsDevanagari": "Devanagari", "IsThai": "Thai"}
+
+
+def _re2(pattern: str) -> str:
+    for java, own in _RE2.items():
+        pattern = pattern.replace("{" + java + "}", "{" + own + "}")
+    return pattern
+
+
+_WORD_LIST = "regexp_extract_all(lower(x), '\\p{L}+')"
+_VOTES = ", ".join(f"len(list_filter({_WORD_LIST}, lambda w: list_contains([{', '.join(repr(w) for w in words)}], w)))" for words in G.FUNCTION_WORDS.values())
+_BY_SCRIPT = " ".join(f"WHEN len(regexp_extract_all(x, '{_re2(pattern)}')) > {0.05 if code == 'ja' else G.MOST_LETTERS} * len(regexp_extract_all(x, '\\p{{L}}')) THEN '{code}'" for code, pattern in G.SCRIPTS.items())
+#: The language of x in DuckDB.
+_LANGUAGE = f"(CASE {_BY_SCRIPT} WHEN list_max([{_VOTES}]) > 0 THEN [{', '.join(repr(c) for c in G.FUNCTION_WORDS)}][list_position([{_VOTES}], list_max([{_VOTES}]))] END)"
+
 #: name: (checker of the text, DuckDB expression of x)
 _CHECKS = {
     "keyword_existence": (lambda x: C.keywords_exist(x, F.array(F.lit("answer"), F.lit("THE"))), "contains(lower(x), 'answer') AND contains(lower(x), 'the')"),
@@ -191,8 +210,9 @@ _CHECKS = {
     "two_responses": (lambda x: C.two_responses(F.concat(x, F.lit("******"), F.lower(x))), "x <> lower(x) AND regexp_matches(x, '[^\\s]')"),
     "end_phrase": (lambda x: C.ends_with(x, "enough."), "ends_with(lower(rtrim(rtrim(x, ' ' || chr(10) || chr(9)), '\"')), 'enough.')"),
     "capital_words": (lambda x: C.capital_words(x, "at least", 3), None),
-    "english_capital": (lambda x: C.all_capitals(x), "x = upper(x) AND x <> lower(x)"),
-    "english_lowercase": (lambda x: C.all_lower(x), "x = lower(x) AND x <> upper(x)"),
+    "english_capital": (lambda x: C.all_capitals(x), f"x = upper(x) AND x <> lower(x) AND coalesce({_LANGUAGE} = 'en', TRUE)"),
+    "english_lowercase": (lambda x: C.all_lower(x), f"x = lower(x) AND x <> upper(x) AND coalesce({_LANGUAGE} = 'en', TRUE)"),
+    "response_language": (lambda x: C.response_language(x, "de"), f"coalesce({_LANGUAGE} = 'de', TRUE)"),
     "no_comma": (lambda x: C.no_comma(x), "NOT contains(x, ',')"),
     "quotation": (lambda x: C.in_quotes(x), "length(trim(x, ' ' || chr(10) || chr(9))) > 1 AND starts_with(trim(x, ' ' || chr(10) || chr(9)), '\"') AND ends_with(trim(x, ' ' || chr(10) || chr(9)), '\"')"),
     "json_format": (lambda x: C.json_valid(x), None),
@@ -219,24 +239,24 @@ def _instructed(spark, folder):
         F.create_map(F.lit("none"), F.lit("")), F.create_map(F.lit("relation"), F.lit("at least"), F.lit("num_words"), F.lit("60")),
         F.create_map(F.lit("letter"), F.lit("e"), F.lit("let_relation"), F.lit("less than"), F.lit("let_frequency"), F.lit("60")),
     )
-    rows = _answers(spark, folder).select("seq", "x", F.array(*map(F.lit, _INSTRUCTIONS)).alias("ids"), args.alias("args"))
-    return rows.select("seq", "x", F.posexplode(F.arrays_zip("ids", "args")).alias("pos", "i")).select("seq", "x", "pos", F.col("i.ids").alias("id"), F.col("i.args").alias("args"))
+    return _answers(spark, folder).select("seq", "x", F.array(*map(F.lit, _INSTRUCTIONS)).alias("ids"), args.alias("args"))
+
+
+def _followed(rows, found):
+    counted = rows.select("seq", found.alias("f")).select("seq", F.size(F.filter("f", lambda y: y)).cast("bigint").alias("n_followed"), F.size("f").alias("n"))
+    return counted.select("seq", "n_followed", F.round(C.combined_score(F.col("n_followed"), F.col("n")), 6).alias("score"))
 
 
 def ifeval_strict(spark, folder):
     """Instructions followed by each answer, and their combined score; a blank answer follows none."""
-    d = _instructed(spark, folder)
-    ok = F.coalesce((X.strip(F.col("x")) != "") & C.check(F.col("x"), F.col("id"), F.col("args"), _INSTRUCTIONS), F.lit(False))
-    g = d.groupBy("seq").agg(F.sum(ok.cast("bigint")).alias("n_followed"), F.count("*").alias("n"))
-    return g.select("seq", "n_followed", F.round(C.combined_score(F.col("n_followed"), F.col("n")), 6).alias("score"))
+    rows = _instructed(spark, folder)
+    return _followed(rows, C.followed(F.col("x"), F.col("ids"), F.col("args"), _INSTRUCTIONS))
 
 
 def ifeval_loose(spark, folder):
     """As strict, but any of eight variants of the answer may follow an instruction."""
-    d = _instructed(spark, folder).select("seq", "id", "args", F.explode(C.loose_variants(F.col("x"))).alias("v"))
-    ok = F.coalesce((X.strip(F.col("v")) != "") & C.check(F.col("v"), F.col("id"), F.col("args"), _INSTRUCTIONS), F.lit(False))
-    one = d.groupBy("seq", "id").agg(F.max(ok.cast("bigint")).alias("ok"))
-    return one.groupBy("seq").agg(F.sum("ok").alias("n_followed"), F.count("*").alias("n")).select("seq", "n_followed", F.round(C.combined_score(F.col("n_followed"), F.col("n")), 6).alias("score"))
+    rows = _instructed(spark, folder)
+    return _followed(rows, C.followed_loosely(F.col("x"), F.col("ids"), F.col("args"), _INSTRUCTIONS))
 
 
 def _lengths(spark, folder):
@@ -265,12 +285,115 @@ def bag_overlap(spark, folder):
     return counted.groupBy("seq").agg(F.sum(F.least("c", "j")).alias("shared"), F.sum(F.greatest("c", "j")).alias("union"))
 
 
+def text_language(spark, folder):
+    return _documents(spark, folder).select("doc_id", G.language(F.col("x")).alias("language"))
+
+
+def canonical_answers(spark, folder):
+    """Extracted answers in canonical form, and the choice that an answer names."""
+    x = F.col("x")
+    return _answers(spark, folder).select("seq", N.cleaned_answer(x).alias("answer"), N.clean_choice(x).alias("choice"), N.last_choice(x).alias("last_choice"))
+
+
+def choice_said(spark, folder):
+    return _answers(spark, folder).select("seq", N.said_choice(F.col("x")).alias("choice"))
+
+
+def final_answers(spark, folder):
+    """Three more readings of an answer: in plain form, what "the answer is:" introduces, and the best of five against its own box."""
+    x = F.col("x")
+    gold = N.unboxed(N.last_boxed(x))
+    return _answers(spark, folder).select("seq", N.final_text(x).alias("plain"), N.answer_said(x).alias("said"), N.best_reading(x, gold).alias("reading"))
+
+
+def number_words(spark, folder):
+    """Numbers below a hundred, spelled out and read again."""
+    n = (F.col("event_id") % 100).cast("int")
+    ones, tens = F.array(*map(F.lit, N.latex.ONES)), F.array(F.lit(""), F.lit(""), *map(F.lit, N.latex.TENS))
+    ten = F.get(tens, F.floor(n / 10).cast("int"))
+    spelled = F.when(n < 20, F.get(ones, n)).when(n % 10 == 0, ten).otherwise(F.concat(ten, F.lit("-"), F.get(ones, n % 10)))
+    return table(spark, folder, "events").select("event_id", N.digits_of_words(spelled).alias("number"))
+
+
+def requests(spark, folder):
+    """System and last user text of every prompt, by its encoding."""
+    rows = table(spark, folder, "box_prompts").where(F.col("input").isNotNull())
+    e = chat.encoding_of(F.col("input"))
+    return rows.select("seq", e.alias("encoding"), chat.request_of(F.col("input"), e).alias("request"))
+
+
+def judge_prompts(spark, folder):
+    """What a judge is asked about each prompt, once for every scoring question."""
+    rows = table(spark, folder, "box_prompts").where(F.col("task").startswith("complex") & F.col("input").isNotNull())
+    q = rows.select("seq", "input", F.posexplode(F.from_json(F.get_json_object("target", "$.scoring_questions"), "array<string>")).alias("q_pos", "question"))
+    return q.select("seq", "q_pos", chat.judge_content("Judge.", F.col("input"), F.lit("Done."), F.col("question")).alias("content"))
+
+
+def judge_sums(spark, folder):
+    """Verdicts from summed token log-probabilities of both answers, three tokens each."""
+    rows = table(spark, folder, "events").select(F.floor(F.col("event_id") / 4).cast("bigint").alias("query_idx"), "value")
+    tokens = F.array(F.col("value") / 3, F.col("value") / 3, F.col("value") / 3)
+    yes, no = F.aggregate(tokens, F.lit(0.0), lambda a, v: a + v), F.aggregate(F.transform(tokens, lambda v: F.lit(9.0) - v), F.lit(0.0), lambda a, v: a + v)
+    g = rows.groupBy("query_idx").agg(F.sum((yes > no).cast("bigint")).alias("n_true"), F.count("*").alias("n"))
+    return g.select("query_idx", "n_true", F.round(C.combined_score(F.col("n_true"), F.col("n")), 6).alias("score"))
+
+
+def judgements(spark, folder):
+    """The last lines of documents, with a verdict put behind some, and what is read off it."""
+    verdict = F.element_at(F.array(*map(F.lit, ("correct", "Correct", "wrong", "not_found"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(chat.last_lines(F.col("x"), 2), F.lit("\nJUDGEMENT: "), verdict)
+    return _documents(spark, folder).select("doc_id", chat.judgement(text).alias("score"), chat.last_lines(text, 2).alias("shown"))
+
+
+def step_rewrites(spark, folder):
+    """Stepwise solutions rewritten for an outcome model, and scored by their box in four ways."""
+    x = F.col("x")
+    scores = steps.boxed_scores(x, F.lit("65"))
+    answered = steps.answered(x, steps.boxed_answer(x))
+    return _documents(spark, folder).select("doc_id", steps.numbered_steps(x).alias("steps"), answered.alias("answered"), *[c.alias(k) for k, c in scores.items()])
+
+
+def sentence_lists(spark, folder):
+    """Sentences by rules, and whether the first one is a key sentence of the answer."""
+    found = sentences_of(F.col("x"))
+    return _answers(spark, folder).select("seq", found.alias("sentences")).select("seq", "sentences", C.key_sentences(F.col("sentences"), F.slice("sentences", 1, 1), 1).alias("followed"))
+
+
+def rephrase_overlap(spark, folder):
+    """Whether both answers of a pair share 10 to 60 words, repeats counted."""
+    rows = table(spark, folder, "preference_pairs").where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
+    return rows.select("seq", C.rephrased_paragraph(F.col("chosen"), F.col("rejected"), 10, 60).alias("followed"))
+
+
+#: The instruction ids of the test table, as further checkers.
+_OWN_IDS = {
+    "punct:no_comma": lambda x, k: C.no_comma(x), "layout:bullets": lambda x, k: C.bullets(x, k["num"].cast("int")), "layout:title": lambda x, k: C.title(x),
+    "layout:sections": lambda x, k: C.sections(x, "Section", k["num"].cast("int")), "close:postscript": lambda x, k: C.postscript(x, "P.S."), "close:quotes": lambda x, k: C.in_quotes(x),
+    "case:lower": lambda x, k: C.all_lower(x), "case:capital_word": lambda x, k: C.capital_words(x, "at least", F.coalesce(k["num"].cast("int"), F.lit(1))),
+    "length:words": lambda x, k: C.word_count(x, "at least", k["num"].cast("int")), "length:sentences": lambda x, k: C.sentences(x, "at least", k["num"].cast("int")),
+}
+for _id, _checker in _OWN_IDS.items():
+    C.register(_id, _checker)
+
+
+def route_scores(spark, folder):
+    """Every prompt of every task with an answer in one of the encodings: its own target (its request for instructions), scored by task."""
+    k = F.col("seq") % 4
+    body = F.when(F.col("task").startswith("kk"), F.get_json_object("target", "$.solution_text_format")).when(F.coalesce("task", F.lit("default")) == "default", F.concat(F.lit("\\boxed{"), "target", F.lit("}"))).otherwise(F.col("input"))
+    answer = F.concat(F.lit("<think>step by step</think>\n<answer>"), F.coalesce(body, F.lit("")), F.lit("</answer>"))
+    head = F.when(k == 0, F.lit("<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n")).when(k == 1, F.lit("User: Hi\nAssistant:")).when(k == 2, F.lit("[INST] Hi [/INST]")).otherwise(F.lit("Hi "))
+    rows = table(spark, folder, "box_prompts").select("seq", "task", "target", F.concat(head, answer, F.lit("</s>")).alias("sequence"))
+    out = scoring.task_scores(rows, "sequence", "target", "task", only=tuple(_OWN_IDS))
+    return out.select("seq", "task", "template", "format_score", "answer_score", "answer_correct", "superior", "pending")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         extract_tags, extract_after_thinking, validate_structure, loose_format, judge_eligibility, logic_truth, kk_score, sequence_route, ngram_counts, repetition_penalty, repetition_dense, strip_marks, finish_text,
         box_prompts_thinking, task_scores, boxed_answers, boxed_match, extracted_answers, numeric_equal, parse_numbers, canonical_equal, judge_verdict, scatter_back, judge_pairs, repeat_prompt, ifeval_strict,
-        ifeval_loose, classic_reward, cosine_reward, length_scaled_reward, bag_overlap,
+        ifeval_loose, classic_reward, cosine_reward, length_scaled_reward, bag_overlap, text_language, canonical_answers, choice_said, final_answers, number_words, requests, judge_prompts, judge_sums,
+        judgements, step_rewrites, sentence_lists, rephrase_overlap, route_scores,
     )
 }
 QUERIES |= {f"check_{name}": _check(build) for name, (build, _) in _CHECKS.items()}
@@ -285,27 +408,59 @@ l AS (SELECT seq, s, unnest(string_split(s, chr(10))) AS line, unnest(range(len(
 r AS (SELECT seq, s, i, regexp_extract(line, '(?i)\\b([A-Za-z]+)\\b.*?\\b(knight|knave)\\b', 1) AS name, lower(regexp_extract(line, '(?i)\\b([A-Za-z]+)\\b.*?\\b(knight|knave)\\b', 2)) AS role FROM l)
 """
 _W = "(CASE WHEN regexp_matches(x, '[^\\s\\x{00a0}]') THEN regexp_split_to_array(regexp_replace(lower(x), '^[\\s\\x{00a0}]+|[\\s\\x{00a0}]+$', '', 'g'), '[\\s\\x{00a0}]+') ELSE [] END)"
+_STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g')"
+
+
+def _routed() -> str:
+    """Sequences as the query makes them, their encoding by its signs, and what follows its last opening, cut at each stop word in turn."""
+    heads = ("<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n", "<｜begin▁of▁sentence｜><｜User｜>Hi<｜Assistant｜>", "<|start_header_id|>user<|end_header_id|>Hi<|start_header_id|>assistant<|end_header_id|>", "[INST] Hi [/INST]", "User: Hi\nAssistant:", "Hi ")
+    ends = ("<|im_end|>", "<｜end▁of▁sentence｜>", "<|eot_id|>", "</s>", "</s>", "</s>")
+    pick = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "][seq % 6 + 1]"
+    kind = " ".join(f"WHEN {' AND '.join(f"contains(s, '{sign}')" for sign in signs)} THEN '{name}'" for name, signs, _ in X.ASSISTANT_HEADS)
+    last = " ".join(f"WHEN '{name}' THEN string_split(s, '{signs[-1]}')[-1]" for name, signs, _ in X.ASSISTANT_HEADS)
+    steps_ = [
+        f"b AS (SELECT seq, {pick(heads)} || '<think>because</think><answer>' || x || '</answer>' || {pick(ends)} || 'rest' AS s FROM a)",
+        f"t AS (SELECT seq, s, CASE {kind} END AS template FROM b)", f"o0 AS (SELECT seq, template, '<think>' || CASE template {last} END AS o FROM t)",
+    ]
+    for k, word in enumerate(X.STOP_WORDS):
+        cut = f"string_split(o, '{word}')[1]"
+        steps_.append(f"o{k + 1} AS (SELECT seq, template, CASE WHEN contains(o, '{word}') THEN {_STRIP(cut)} ELSE o END AS o FROM o{k})")
+    return f"{_A}, {', '.join(steps_)} SELECT seq, template, o AS output FROM o{len(X.STOP_WORDS)}"
+
+
+_ROUTED = _routed()
+_BALANCED = r"[^{}]"
+for _ in range(5):
+    _BALANCED = rf"(?:[^{{}}]|\{{{_BALANCED}*\}})"
+_BOX_TAIL = "string_split(x, 'boxed')[-1]"
+_BOXED_INSIDE = f"CASE WHEN NOT starts_with({_BOX_TAIL}, '{{') THEN string_split({_BOX_TAIL}, '$')[1] WHEN regexp_matches({_BOX_TAIL}, '^\\{{{_BALANCED}*\\}}') THEN regexp_extract({_BOX_TAIL}, '^\\{{({_BALANCED}*)\\}}', 1) ELSE {_BOX_TAIL}[2:] END"
+_MINERVA = "(?s)final answer is \\$(.*?)\\$\\. I hope"
+_LAST_SAID = lambda what: f"string_split(x, '{what}')[-1]"
+_EXTRACTED = f"""{_A}, f AS (SELECT seq, CASE WHEN regexp_matches(x, '{_MINERVA}') THEN regexp_extract(x, '{_MINERVA}', 1) WHEN contains(x, 'boxed') THEN {_BOXED_INSIDE}
+        WHEN contains(x, 'he answer is') THEN {_LAST_SAID('he answer is')} WHEN contains(x, 'final answer is') THEN {_LAST_SAID('final answer is')}
+        WHEN contains(x, '答案是') THEN string_split({_STRIP("string_split(x, '答案是')[2]")}, chr(10) || chr(10))[1] ELSE coalesce(regexp_extract_all(replace(x, ',', ''), '-?\\d*\\.?\\d+')[-1], '') END AS f FROM a),
+    j AS (SELECT seq, regexp_replace({_STRIP('f')}, '\\n\\s*', '', 'g') AS j FROM f)
+    SELECT seq, {_STRIP("regexp_replace(regexp_replace(regexp_replace(j, '^:', ''), '[.]$', ''), '/$', '')")} AS answer FROM j"""
 SQL = {
-    "extract_tags": f"{_A} SELECT seq, CAST(length({_T('think')}) AS INTEGER) AS think_length, CAST(length({_T('answer')}) AS INTEGER) AS answer_length FROM a",
-    "extract_after_thinking": f"{_A} SELECT seq, CAST(CASE WHEN contains(x, '</think>') THEN length(regexp_replace(string_split(x, '</think>')[-1], '^\\s+|\\s+$', '', 'g')) END AS INTEGER) AS answer_length FROM a",
+    "extract_tags": f"{_A} SELECT seq, {_T('think')} AS think, {_T('answer')} AS answer FROM a",
+    "extract_after_thinking": f"{_A} SELECT seq, CASE WHEN contains(x, '</think>') THEN regexp_replace(string_split(x, '</think>')[-1], '^\\s+|\\s+$', '', 'g') END AS answer FROM a",
     "validate_structure": f"{_A} SELECT seq, {_FORMED} AS formed, {_CNT('<think>')} = 1 AND {_CNT('</think>')} = 1 AND instr(x, '<think>') <= instr(x, '</think>') AS formed_plain FROM a",
     "loose_format": f"{_A} SELECT seq, regexp_matches(x, '^<think>.*?</think>\\n?<answer>.*?</answer>') AS ok FROM a",
     "judge_eligibility": f"{_A} SELECT seq, CASE WHEN coalesce({_FORMED} AND {_T('answer')} <> '' AND {_T('think')} <> '' AND {_T('think')} <> 'reasoning process here', FALSE) THEN NULL ELSE -2.0 END::DOUBLE AS score FROM a",
     "logic_truth": f"{_KK} SELECT seq, name, arg_max(role, i) AS role FROM r WHERE name <> '' GROUP BY 1, 2",
     "kk_score": f"""{_KK}, g AS (SELECT seq, count(*) AS lines, count(*) FILTER (role = 'knight') AS knights FROM r WHERE name <> '' GROUP BY 1)
         SELECT seq, CASE WHEN seq % 4 = 0 THEN 2.0 WHEN seq % 4 = 1 AND knights > 0 THEN -1.5 WHEN seq % 4 = 1 THEN 2.0 ELSE -2.0 END::DOUBLE AS score, seq % 4 = 0 OR (seq % 4 = 1 AND knights = 0) AS correct FROM g""",
-    "sequence_route": f"""{_A} SELECT seq, ['qwen', 'deepseek', 'llama3', 'mistral', 'base', NULL][seq % 6 + 1] AS template, CAST(CASE WHEN seq % 6 < 5 THEN length('<think>because</think><answer></answer>') + length(substring(x, 1, 40)) END AS INTEGER) AS output_length
-        FROM a WHERE NOT regexp_matches(x, '[<>\\[]') AND NOT contains(x, 'ssistant')""",
+    "sequence_route": _ROUTED,
     "ngram_counts": f"{_A}, w AS (SELECT seq, {_W} AS w FROM a), g AS (SELECT seq, list_transform(range(greatest(len(w) - 2, 0)), lambda i: w[i + 1:i + 3]) AS g FROM w) SELECT seq, CAST(len(g) AS INTEGER) AS n, CAST(len(list_distinct(g)) AS INTEGER) AS n_distinct FROM g",
     "repetition_penalty": f"{_A}, w AS (SELECT seq, {_W} AS w FROM a), g AS (SELECT seq, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1:i + 2]) AS g FROM w) SELECT seq, round(greatest(0, least(1, 1 - len(list_distinct(g)) / (len(g) + 1e-5::DOUBLE))) * 0.5, 6) AS penalty FROM g",
     "repetition_dense": f"""{_A}, w AS (SELECT seq, {_W} AS w FROM a), g AS (SELECT seq, len(w) AS n, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1:i + 2]) AS g FROM w),
         s AS (SELECT seq, n, list_filter(range(len(g)), lambda i: list_position(g, g[i + 1]) <= i) AS s FROM g)
         SELECT seq, CAST(len(list_distinct(list_concat(s, list_transform(s, lambda i: i + 1)))) AS INTEGER) AS n_repeated, CAST(n AS INTEGER) AS n FROM s""",
-    "strip_marks": f"{_A} SELECT seq, CAST(length(x) + 4 AS INTEGER) AS n FROM a WHERE NOT regexp_matches(x, '</s>|<pad>')",
-    "finish_text": f"{_A}, t AS (SELECT seq, regexp_replace(coalesce(prompt, '') || x, '\\n+$', '') AS t FROM a) SELECT seq, CAST(length(t) + CASE WHEN ends_with(t, '</s>') THEN 0 ELSE 5 END AS INTEGER) AS n, NOT ends_with(t, '</s>') OR ends_with(t, ' </s>') AS appended FROM t",
+    "strip_marks": f"{_A} SELECT seq, regexp_replace(regexp_replace('<pad><pad></s>' || x || '</s></s><pad>', '^(</s>|<pad>)+', ''), '(</s>|<pad>)+$', '') || '</s>' AS text FROM a",
+    "finish_text": f"{_A}, t AS (SELECT seq, regexp_replace(coalesce(prompt, '') || x, '\\n+$', '') AS t FROM a) SELECT seq, CASE WHEN ends_with(t, '</s>') THEN t ELSE t || ' </s>' END AS text FROM t",
     "box_prompts_thinking": """
-        WITH p AS (SELECT seq, task, CASE WHEN ends_with(input, '<think>') OR ends_with(input, '<think>' || chr(10)) OR ends_with(input, '<think>' || chr(10) || chr(10) || '</think>' || chr(10)) THEN input ELSE input || '<think>' || chr(10) END AS p FROM box_prompts WHERE input IS NOT NULL)
-        SELECT seq, CAST(length(p) AS INTEGER) AS n, ends_with(p, '<think>' || chr(10)) AS opened, coalesce(task, 'default') AS task FROM p
+        SELECT seq, CASE WHEN ends_with(input, '<think>') OR ends_with(input, '<think>' || chr(10)) OR ends_with(input, '<think>' || chr(10) || chr(10) || '</think>' || chr(10)) THEN input ELSE input || '<think>' || chr(10) END AS prompt,
+            coalesce(task, 'default') AS task FROM box_prompts WHERE input IS NOT NULL
     """,
     "task_scores": """
         WITH t AS (SELECT seq, target, try_cast(replace(trim(target), ',', '') AS DOUBLE) AS v FROM box_prompts WHERE coalesce(task, 'default') = 'default' AND target IS NOT NULL)
@@ -313,18 +468,21 @@ SQL = {
     """,
     "boxed_answers": f"{_A} SELECT seq, CASE WHEN contains(x, '\\boxed') THEN regexp_extract(string_split(x, '\\boxed')[-1], '^\\{{([^{{}}]*)\\}}', 1) END AS boxed FROM a WHERE NOT contains(x, '\\boxed') OR regexp_matches(string_split(x, '\\boxed')[-1], '^\\{{[^{{}}]*\\}}') UNION ALL SELECT seq, NULL FROM a WHERE contains(x, '\\boxed') AND NOT regexp_matches(string_split(x, '\\boxed')[-1], '^\\{{[^{{}}]*\\}}')",
     "boxed_match": "WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)The final answer is: \\\\boxed\\{(.*?)\\}') THEN regexp_extract(text, '(?s)The final answer is: \\\\boxed\\{(.*?)\\}', 1) ELSE 'none' END AS answer FROM documents WHERE text IS NOT NULL) SELECT doc_id, answer, CASE WHEN answer = '65' THEN 0.5 ELSE -0.5 END::DOUBLE AS score FROM d",
-    "extracted_answers": f"{_A} SELECT seq, CASE WHEN contains(x, 'boxed') THEN regexp_extract(string_split(x, 'boxed')[-1], '^\\{{([^{{}}]*)\\}}', 1) ELSE coalesce(regexp_extract_all(replace(x, ',', ''), '-?\\d*\\.?\\d+')[-1], '') END AS answer FROM a WHERE contains(x, 'boxed') OR NOT contains(x, 'nswer')",
+    "extracted_answers": _EXTRACTED,
     "numeric_equal": """
         WITH p AS (SELECT event_id, value AS a, value * (1 + (event_id % 7 - 3) * 0.00005::DOUBLE) AS b FROM events)
         SELECT event_id, abs(a - b) <= 1e-4 * greatest(abs(a), abs(b)) AS near, abs(a - b) <= greatest(1e-9 * greatest(abs(a), abs(b)), 1e-3) AS near_absolute, abs(a - b * 100 / 100) <= 1e-4 * greatest(abs(a), abs(b * 100 / 100)) OR a = 0 AND b = 0 AS matches FROM p
     """,
     "parse_numbers": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(value * 1000, 1) WHEN event_id % 3 = 1 THEN round(round(value, 2) / 100, 6) END AS number FROM events",
-    "canonical_equal": "SELECT event_id, event_id % 2 = 0 AS same, event_id % 2 = 0 AS equal FROM events",
+    "canonical_equal": """
+        WITH f AS (SELECT event_id, event_id % 9 + 1 AS p, event_id % 5 + 2 AS q, event_id // 7 % 9 + 1 AS r, event_id // 3 % 5 + 2 AS s FROM events)
+        SELECT event_id, p = r AND q = s AS same, p * s = r * q AS equal FROM f
+    """,
     "judge_verdict": "WITH g AS (SELECT event_id // 3 AS query_idx, count(*) FILTER (value > 30.0 - value) AS n_true, count(*) AS n FROM events GROUP BY 1) SELECT query_idx, n_true, round(CASE WHEN n_true = n THEN 2.0 WHEN n_true = 0 THEN -2.0 ELSE n_true / n::DOUBLE END, 6)::DOUBLE AS score FROM g",
     "scatter_back": "WITH g AS (SELECT event_id // 3 AS q, count(*) FILTER (value > 30.0 - value) AS t, count(*) AS n FROM events GROUP BY 1) SELECT seq, coalesce(round(CASE WHEN t = n THEN 2.0 WHEN t = 0 THEN -2.0 ELSE t / n::DOUBLE END, 6), -2.0)::DOUBLE AS score FROM sft_pairs LEFT JOIN g ON seq = q AND q % 2 = 0",
     "judge_pairs": """
         WITH q AS (SELECT seq, CAST(json_extract(target, '$.scoring_questions') AS VARCHAR[]) AS q FROM box_prompts WHERE task LIKE 'complex%')
-        SELECT seq, CAST(k AS INTEGER) AS q_pos, v AS verdict, CAST(length(q[k + 1]) AS INTEGER) AS n FROM q, range(20) r(k), (VALUES ('YES'), ('NO')) t(v) WHERE k < len(q)
+        SELECT seq, CAST(k AS INTEGER) AS q_pos, v AS verdict, q[k + 1] AS question FROM q, range(20) r(k), (VALUES ('YES'), ('NO')) t(v) WHERE k < len(q)
     """,
     "repeat_prompt": f"{_A}, s AS (SELECT seq, regexp_replace(lower(x), '^\\s+|\\s+$', '', 'g') AS x, regexp_replace(lower(prompt), '^\\s+|\\s+$', '', 'g') AS p FROM a WHERE prompt IS NOT NULL) SELECT seq, starts_with(x, p) OR starts_with(x, '''' || p) OR starts_with(x, '\"' || p) AS followed FROM s",
     "ifeval_strict": f"""{_A}, c AS (SELECT seq, CASE WHEN regexp_matches(x, '[^\\s\\x{{00a0}}]') THEN (NOT contains(x, ','))::INT + (len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+')) >= 60)::INT + (length(lower(x)) - length(replace(lower(x), 'e', '')) < 60)::INT ELSE 0 END AS n FROM a)
@@ -338,6 +496,25 @@ SQL = {
     "cosine_reward": f"""{_A}, w AS (SELECT seq, length(x) AS n, {_W} AS w FROM a), g AS (SELECT seq, n, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1:i + 2]) AS g FROM w)
         SELECT seq, round(CASE WHEN n + 16 >= 600 THEN -2.0 WHEN seq % 3 = 0 THEN 0.5 + 0.25 * (1 + cos(n / 600::DOUBLE * pi())) ELSE -0.5 - 0.25 * (1 + cos(n / 600::DOUBLE * pi())) + greatest(0, least(1, 1 - len(list_distinct(g)) / (len(g) + 1e-5::DOUBLE))) * -0.5 END, 6)::DOUBLE AS reward FROM g""",
     "length_scaled_reward": f"{_A}, n AS (SELECT seq, length(x) AS n, length(x) / 600::DOUBLE AS c FROM a) SELECT seq, round(CASE WHEN n + 16 >= 600 THEN -2.0 WHEN seq % 3 = 0 THEN (0.6 + 0.4 * c) * (1 - c) ELSE c - 1 END, 6)::DOUBLE AS reward FROM n",
+    "text_language": f"SELECT doc_id, {_LANGUAGE} AS language FROM (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL)",
+    "choice_said": f"{_A} SELECT seq, coalesce(upper(nullif(regexp_extract(lower(replace(string_split(x, 'Problem:')[1], 'choice is', 'answer is')), 'answer is \\(?([abcde])\\)?', 1), '')), 'placeholder') AS choice FROM a",
+    "number_words": "SELECT event_id, CAST(event_id % 100 AS VARCHAR) AS number FROM events",
+    "judge_prompts": """
+        WITH q AS (SELECT seq, input, CAST(json_extract(target, '$.scoring_questions') AS VARCHAR[]) AS q FROM box_prompts WHERE task LIKE 'complex%' AND input IS NOT NULL)
+        SELECT seq, CAST(k AS INTEGER) AS q_pos, 'Judge.' || repeat(chr(10), 3) || 'Input:' || repeat(chr(10), 2) || input || repeat(chr(10), 3) || 'Generated Text:' || repeat(chr(10), 2) || 'Done.' || repeat(chr(10), 3) || 'Question:' || repeat(chr(10), 2) || q[k + 1] AS content
+        FROM q, range(20) r(k) WHERE k < len(q)
+    """,
+    "judge_sums": "WITH g AS (SELECT event_id // 4 AS query_idx, count(*) FILTER (value / 3 + value / 3 + value / 3 > (9 - value / 3) + (9 - value / 3) + (9 - value / 3)) AS n_true, count(*) AS n FROM events GROUP BY 1) SELECT query_idx, n_true, round(CASE WHEN n_true = n THEN 2.0 WHEN n_true = 0 THEN -2.0 ELSE n_true / n::DOUBLE END, 6)::DOUBLE AS score FROM g",
+    "judgements": """
+        WITH d AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[-2:], chr(10)) || chr(10) || 'JUDGEMENT: ' || ['correct', 'Correct', 'wrong', 'not_found'][doc_id % 4 + 1] AS x FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CAST(regexp_extract(x, '(?i).*judgement:\\s+(correct|wrong|not_found).*', 1) = 'correct' AS INTEGER) AS score, array_to_string(string_split(x, chr(10))[-2:], chr(10)) AS shown FROM d
+    """,
+    "rephrase_overlap": """
+        WITH t AS (SELECT seq, unnest(regexp_extract_all(lower(chosen), '[\\p{L}\\p{N}_]+')) AS w, 1 AS c, 0 AS j FROM preference_pairs WHERE chosen IS NOT NULL AND rejected IS NOT NULL
+                   UNION ALL SELECT seq, unnest(regexp_extract_all(lower(rejected), '[\\p{L}\\p{N}_]+')), 0, 1 FROM preference_pairs WHERE chosen IS NOT NULL AND rejected IS NOT NULL),
+        k AS (SELECT seq, w, least(sum(c), sum(j)) AS s FROM t GROUP BY 1, 2), g AS (SELECT seq, sum(s) AS s FROM k GROUP BY 1)
+        SELECT p.seq, coalesce(s, 0) BETWEEN 10 AND 60 AS followed FROM preference_pairs p LEFT JOIN g USING (seq) WHERE chosen IS NOT NULL AND rejected IS NOT NULL
+    """,
     "bag_overlap": """
         WITH t AS (SELECT seq, unnest(regexp_extract_all(lower(chosen), '[\\p{L}\\p{N}_]+')) AS w, 1 AS c, 0 AS j FROM preference_pairs WHERE chosen IS NOT NULL AND rejected IS NOT NULL
                    UNION ALL SELECT seq, unnest(regexp_extract_all(lower(rejected), '[\\p{L}\\p{N}_]+')), 0, 1 FROM preference_pairs WHERE chosen IS NOT NULL AND rejected IS NOT NULL),

@@ -109,7 +109,7 @@ def pad_sequences(spark, folder):
 def strip_padding(spark, folder):
     n = F.pmod(F.col("vec_id"), F.lit(10))
     d = _seqs(spark, folder).select("vec_id", A.unpad(A.pad(A.pad(F.col("logp"), F.size("logp") + n, 0.0, "left"), F.size("logp") + 2 * n, 0.0, "right"), n, n).alias("u"), "logp")
-    return d.select("vec_id", F.size("u").alias("size"), _r(A.total("u") - A.total("logp")).alias("difference"))
+    return d.select("vec_id", F.size("u").alias("size"), _r(A.total("u")).alias("total"), F.get("u", F.lit(0)).alias("first"))
 
 
 def _packs(spark, folder):
@@ -333,7 +333,8 @@ SQL = {
     "sequence_logprob": f"{_S} SELECT vec_id, round(list_sum(x[vec_id % 40 + 1:]), 6) AS logp_sum, round(list_sum(x[vec_id % 40 + 1:]) / len(x[vec_id % 40 + 1:]), 6) AS logp_mean FROM s",
     "pad_sequences": f"""{_S}, t AS (SELECT vec_id, vec_id // 8 AS b, x[1:1 + vec_id % 50] AS t FROM s), w AS (SELECT vec_id, t, max(len(t)) OVER (PARTITION BY b) AS n FROM t)
         SELECT vec_id, CAST(n AS INTEGER) AS size, round(CASE WHEN len(t) < n THEN 0 ELSE t[1] END, 6) AS first, round(t[-1], 6) AS last FROM w""",
-    "strip_padding": f"{_S} SELECT vec_id, CAST(len(x) AS INTEGER) AS size, CAST(0 AS DOUBLE) AS difference FROM s",
+    "strip_padding": f"""{_S}, p AS (SELECT vec_id, vec_id % 10 AS n, list_concat(list_transform(range(vec_id % 10), lambda i: 0.0), x, list_transform(range(vec_id % 10), lambda i: 0.0)) AS p FROM s)
+        SELECT vec_id, CAST(len(p[n + 1:len(p) - n]) AS INTEGER) AS size, round(list_sum(p[n + 1:len(p) - n]), 6) AS total, p[n + 1] AS first FROM p""",
     "sequence_packing": f"""{_PK}, z AS (SELECT pack_id, list_concat(flat, list_transform(range((16 - len(flat) % 16) % 16), lambda q: 0)) AS i, list_concat(seg, list_transform(range((16 - len(flat) % 16) % 16), lambda q: 0)) AS g FROM f)
         SELECT pack_id, CAST(unnest(range(len(i))) AS INTEGER) AS pos, CAST(unnest(i) AS INTEGER) AS id, CAST(unnest(g) AS INTEGER) AS segment FROM z""",
     "position_ids": f"{_PK} SELECT pack_id, CAST(unnest(range(len(flat) + (16 - len(flat) % 16) % 16)) AS INTEGER) AS pos, CAST(unnest(list_concat(posn, list_transform(range((16 - len(flat) % 16) % 16), lambda q: 0))) AS INTEGER) AS position FROM f",

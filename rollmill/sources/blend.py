@@ -23,14 +23,15 @@ def blend(sources: list[DataFrame], weights: list[float], order: str, stop: str
     if any(w <= 0 for w in weights) or stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError("weights must be positive, stop one of first_exhausted and all_exhausted")
     shares = [w / sum(weights) for w in weights]
-    placed = [positions(s, order, name="turn").where(F.col("turn") < max_count) for s in sources]
-    counts = [p.count() for p in placed]
+    every = reduce(DataFrame.unionByName, [s.withColumn("source_no", F.lit(no)) for no, s in enumerate(sources)])
+    placed = positions(every, "source_no", order, name="_pos")  # one pass for all sources
+    known = {r.source_no: (r.base, min(r.n, max_count)) for r in placed.groupBy("source_no").agg(F.min("_pos").alias("base"), F.count("*").alias("n")).collect()}  # one row a source
+    base, counts = zip(*[known.get(no, (0, 0)) for no in range(len(sources))])
     ends = [n / p for n, p in zip(counts, shares)]
     until = min(ends) if stop == "first_exhausted" else max(ends)
-    parts = []
-    for no, (rows, p, n) in enumerate(zip(placed, shares, counts)):
-        rounds = 1 if stop == "first_exhausted" or not n else int(-(-(until * p) // n))
-        again = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds, 1) - 1)))).withColumn("_i", F.col("round") * n + F.col("turn"))
-        timed = again.withColumn("rank", (F.col("_i") + 0.5) / p).where(F.col("_i") + 0.5 < F.lit(until) * p)
-        parts.append(timed.withColumn("source_no", F.lit(no)).drop("_i", "round"))
-    return reduce(DataFrame.unionByName, parts)
+    rounds = [1 if stop == "first_exhausted" or not n else max(1, int(-(-(until * p) // n))) for n, p in zip(counts, shares)]
+    numbers = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(r).alias("rounds")) for b, n, p, r in zip(base, counts, shares, rounds)])
+    own = placed.withColumn("_s", F.get(numbers, F.col("source_no"))).withColumn("turn", F.col("_pos") - F.col("_s.base")).where(F.col("turn") < max_count)
+    again = own.withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("_s.rounds") - 1))).withColumn("_i", F.col("_round") * F.col("_s.n") + F.col("turn"))
+    timed = again.withColumn("rank", (F.col("_i") + 0.5) / F.col("_s.p")).where(F.col("_i") + 0.5 < F.lit(until) * F.col("_s.p"))
+    return timed.drop("_i", "_round", "_s", "_pos")

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_FORMATS: dict[str, str] = {}
+
+
+def register_source(spark: SparkSession, name: str, source: type) -> None:
+    """Makes a Python data source (a ``pyspark.sql.datasource.DataSource``) readable by ``read_source`` under a name, which may end in .py."""
+    spark.dataSource.register(source)
+    _FORMATS[name] = source.name()
+
+
 def split_name(name: str) -> tuple[str, str | None]:
     """``folder@part`` names a part of a folder."""
     base, _, part = name.strip().partition("@")
@@ -26,8 +35,11 @@ def read_source(spark: SparkSession, name: str, schema: StructType | str | None
     base, part = split_name(name)
     path = os.path.join(base, part) if part else base
     kind = os.path.splitext(path)[1].lower()
-    if kind == ".py":
-        raise ValueError("scripts are not run; register a data source instead")
+    if kind == ".py" or base in _FORMATS:
+        if base not in _FORMATS:
+            raise ValueError("scripts are not run; register a data source instead")
+        source = spark.read.format(_FORMATS[base])
+        return (source.option("part", part) if part else source).load()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind in (".json", ".jsonl"):
         return reader.option("mode", "FAILFAST").json(path)

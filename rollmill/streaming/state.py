@@ -18,9 +18,9 @@ def kl_factor(current: Column, n_steps: Column, target: float, horizon: float) -
 
 def adaptive_coefficient(df: DataFrame, current: str, n_steps: Column, start: float, target: float, horizon: float, by: str | None = None) -> DataFrame:
     """The coefficient after all updates, per group: updates only multiply, so their order doesn't matter and one aggregate does."""
-    log = F.log(kl_factor(F.col(current), n_steps, target, horizon))
     grouped = df.groupBy(by) if by else df.groupBy()
-    return grouped.agg((F.lit(start) * F.exp(F.sum(log))).alias("coefficient"), F.count("*").alias("n_updates"))
+    factor = F.product(kl_factor(F.col(current), n_steps, target, horizon))
+    return grouped.agg((F.lit(start) * F.coalesce(factor, F.lit(1.0))).alias("coefficient"), F.count("*").alias("n_updates"))
 
 
 def fixed_coefficient(df: DataFrame, value: float) -> DataFrame:
@@ -65,3 +65,52 @@ def stream_buffer(stream: DataFrame, key: str, order: str, limit: int) -> DataFr
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, held bigint", "held array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def resume_from(df: DataFrame, position: str, consumed: int, total: int) -> DataFrame:
+    """``df`` as seen when training goes on after ``consumed`` samples: ``epoch`` of each row still to come first, and ``order`` within the rest.
+
+    Whole epochs are over; of the current one the first ``consumed % total`` rows have been used and come again in the next epoch only.
+    """
+    done, used = divmod(consumed, total) if total else (0, 0)
+    later = F.col(position) < used
+    return df.withColumn("epoch", F.lit(done) + later.cast("int")).withColumn("order", F.when(later, F.col(position) + total - used).otherwise(F.col(position) - used))
+
+
+def rollout_loop(stream: DataFrame, folder: str, score, train, limit: int, order: str):
+    """A started query: every micro-batch is scored, buffered, trained on and cleared, and its offsets are kept, so that it resumes.
+
+    ``score(df)`` gives the batch its columns, ``train(df, batch_id)`` uses the newest ``limit`` rows by ``order`` and must be idempotent
+    for a batch id, as a batch may be repeated after a failure. Offsets are in ``folder``, which all machines must share.
+    """
+
+    def turn(batch: DataFrame, number: int) -> None:
+        held = score(batch).persist()
+        try:
+            train(bounded_buffer(held, order, limit), number)
+        finally:
+            held.unpersist()
+
+    return stream.writeStream.foreachBatch(turn).option("checkpointLocation", folder).start()
+
+
+def coalesced_requests(df: DataFrame, actor: str, actors: int, engines: int) -> DataFrame:
+    """``df`` of requests with ``engine`` and ``ready``: engine e serves the actors that leave the rest e, and runs once all of them have sent.
+
+    ``ready`` tells whether every actor of the engine is in the table; one row an engine is joined back.
+    """
+    rows = df.withColumn("engine", F.pmod(F.col(actor), F.lit(engines)).cast("int"))
+    wanted = F.floor((F.lit(actors - 1) - F.col("engine")) / engines) + 1
+    sent = rows.groupBy("engine").agg(F.count_distinct(actor).alias("_sent"))
+    return rows.join(F.broadcast(sent), "engine").withColumn("ready", F.col("_sent") == wanted).drop("_sent")
+
+
+def moving_average(df: DataFrame, name: str, step: str, value: str, beta: float = 0.992) -> DataFrame:
+    """``name`` and ``average``: the exponential average of every named number over its steps, the first of which starts it.
+
+    ema = beta * ema + (1 - beta) * value. Weights of the steps depend on their distance from the last one only, so one aggregate does.
+    """
+    last = df.groupBy(name).agg(F.max(step).alias("_last"), F.min(step).alias("_first"), F.count("*").alias("_n"))
+    rows = df.join(last, name)
+    weight = F.pow(F.lit(beta), F.col("_last") - F.col(step)) * F.when(F.col(step) == F.col("_first"), F.lit(1.0)).otherwise(F.lit(1.0 - beta))
+    return rows.groupBy(name).agg(F.sum(weight * F.col(value)).alias("average"))

@@ -4,8 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollmill.operators import groups, order, postprocess, shape
-from rollmill.operators.components import connected_components
-from rollmill.plans.bitmap import bitmap, with_maybe
 from rollmill.sources import io
 from rollmill.sources.blend import blend
 from rollmill.streaming import state
@@ -86,22 +84,6 @@ def test_superior_filter(spark):
     assert sorted(kept["p"]) == [False] * 3 and sorted(kept["q"]) == [False, True, True] and kept["r"] == [True]
 
 
-def test_components(spark):
-    links = [(1, 2), (2, 3), (10, 11), (11, 10), (5, 5), (None, 7)] + [(i, i + 1) for i in range(100, 140)]
-    for n in (1, 5):
-        got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint").repartition(n)).collect()}
-        assert got[3] == 1 and got[11] == 10 and got[5] == 5 and got[140] == 100 and 7 not in got
-    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
-
-
-def test_bitmap_never_misses(spark):
-    rows = spark.range(2000)
-    bits = bitmap(rows.where("id % 5 = 0"), F.col("id"))
-    out = with_maybe(rows, F.col("id"), bits)
-    assert out.where("id % 5 = 0 and not maybe").count() == 0 and out.where("maybe").count() < 420
-    assert with_maybe(rows, F.col("id"), bitmap(rows.limit(0), F.col("id"))).where("maybe").count() == 0
-
-
 def test_shaping(spark):
     rows = spark.createDataFrame([(1, "q", "r"), (2, "", "r"), (3, "q", ""), (4, None, "r"), (5, "long", "r")], "i int, p string, r string")
     kept = shape.sft_rows(rows, "p", "r", F.length("p"), 6, "<{}>").collect()

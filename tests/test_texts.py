@@ -30,7 +30,7 @@ def routed(seq, response):
             for word in STOP:
                 if word in out:
                     out = out.split(word)[0].strip()
-            return name, len(out)
+            return name, out
     return None, None
 
 
@@ -38,7 +38,7 @@ def test_sequences_are_routed_whole(spark, tmp_path):
     kinds = ["a plain answer that is longer than forty characters, " * 3, "short", "<b>tag</b> [1]", "ends </s> early", "one <|im_end|> two <|eot_id|> three", "User: Hi\nAssistant:<think>x</think>", "[INST] q [/INST]<think>y", "<|im_start|>assistant\n<think>z</think> w ", ""]
     kinds += ["a <|endoftext|> b", "<｜begin▁of▁sentence｜><｜User｜>q<｜Assistant｜><think>v", "<|start_header_id|>assistant<|end_header_id|><think>u", "the Assistant: said"]
     values = [k for k in kinds for _ in range(6)] + [None]
-    got = {r.seq: (r.template, r.output_length) for r in texts.sequence_route(spark, answers(spark, tmp_path, values)).collect()}
+    got = {r.seq: (r.template, r.output) for r in texts.sequence_route(spark, answers(spark, tmp_path, values)).collect()}
     assert got == {i: routed(i, v) for i, v in enumerate(values) if v is not None}
     assert {t for t, _ in got.values()} == {"qwen", "deepseek", "llama3", "mistral", "base", None}
 
@@ -78,10 +78,10 @@ def test_every_response_has_an_extracted_answer(spark, tmp_path):
 
 def stripped(response):
     run = "(</s>|<pad>)+"
-    return len(re.sub(run + "$", "", re.sub("^" + run, "", f"<pad><pad></s>{response}</s></s><pad>"))) + len("</s>")
+    return re.sub(run + "$", "", re.sub("^" + run, "", f"<pad><pad></s>{response}</s></s><pad>")) + "</s>"
 
 
 def test_marks_inside_of_responses(spark, tmp_path):
     values = ["plain", "", "</s>", "<pad></s><pad>", "</s>starts", "ends<pad>", "in</s>side", "<pad> blank </s> ", "a\n</s>\n", "</s", None]
-    got = {r.seq: r.n for r in texts.strip_marks(spark, answers(spark, tmp_path, values)).collect()}
+    got = {r.seq: r.text for r in texts.strip_marks(spark, answers(spark, tmp_path, values)).collect()}
     assert got == {i: stripped(v) for i, v in enumerate(values) if v is not None}
