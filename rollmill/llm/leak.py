@@ -24,6 +24,8 @@ SLACK = 3
 REACH = 48
 #: Characters of the items that are held in memory at once; larger sets are searched in blocks of about this size.
 BLOCK_CHARACTERS = 20_000_000
+#: Words of texts that are gone through with one block after another, where there are several.
+GROUP_WORDS = 1_000_000
 
 
 _END = re.compile(r"[.!?…。]+[\"'”»)\]]*\s|\n\s*\S")
@@ -164,8 +166,8 @@ def find_leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str
     give an empty result; other columns aren't read.
 
     Fixed masks pick three of three or four successive words; the seeds of the items, in sorted arrays that every task holds,
-    are joined with those of each text (a map-side hash join: items come in blocks of about ``BLOCK_CHARACTERS``, each searched
-    in a scan of its own, so the broadcast is bounded). Where a text and an item share at least ``LEAST_HITS`` seeds, the words
+    are joined with those of each text (a map-side hash join in one scan of the texts: items come in blocks of about
+    ``BLOCK_CHARACTERS``, of which a task holds one at a time). Where a text and an item share at least ``LEAST_HITS`` seeds, the words
     are aligned (longest common subsequence) in a band around the shifts of the hits. An inserted sentence may have any length.
     """
     spark = df.sparkSession
@@ -173,51 +175,72 @@ def find_leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str
     tests = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARACTERS))
-    found = None
+    seeds = []
     for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
-        seeds = spark.sparkContext.broadcast(Seeds(sorted((r.i, r.t) for r in rows)))
-        part = corpus.mapInArrow(_search(seeds, [id, item_id]), f"`{id}` bigint, `{item_id}` bigint")
-        found = part if found is None else found.union(part)
-    return found.distinct() if blocks > 1 else found
+        rows = tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).distinct().collect()
+        seeds.append(spark.sparkContext.broadcast(Seeds(sorted((r.i, r.t) for r in rows))))
+    return corpus.mapInArrow(_search(seeds, [id, item_id]), f"`{id}` bigint, `{item_id}` bigint")
 
 
-def _search(broadcast, names: list[str]):
+def _groups(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[tuple[np.ndarray, list[str], list[list[str]]]]:
+    """Ids, texts and words of batches, taken together until they have so many words."""
+    ids, texts, found, size = [], [], [], 0
+    for batch in batches:
+        ids.append(np.asarray(batch.column(0)))
+        texts += batch.column(1).to_pylist()
+        found += map(words, texts[len(found) :])
+        size += sum(map(len, found[-batch.num_rows :])) if batch.num_rows else 0
+        if size >= at_least:
+            yield np.concatenate(ids), texts, found
+            ids, texts, found, size = [], [], [], 0
+    if ids:
+        yield np.concatenate(ids), texts, found
+
+
+def _search(broadcasts: list, names: list[str]):
+    """One scan of the texts for all blocks: each group of texts is made words once and gone through with every block in turn."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: Seeds = broadcast.value
-        number = seeds.vocabulary.get
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            numbers, starts = [], []
-            texts = batch.column(1)
-            for text in texts.to_pylist():
-                starts.append(len(numbers))
-                numbers += [number(w, -1) for w in words(text)]
-                numbers += (-1, -1, -1, -1)
-            flat, starts = np.array(numbers, np.int64), np.array(starts, np.int64)
-            at, item, place = seeds.hits(flat)
-            doc = np.searchsorted(starts, at, "right") - 1
-            order = np.lexsort((item, doc))
-            at, item, place, doc = at[order], item[order], place[order], doc[order]
-            pair = doc * np.int64(len(seeds.items)) + item
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            many = np.diff(np.concatenate([first, [len(pair)]]))
-            out, last, own, there = [], -1, flat[:0], np.zeros(len(seeds.vocabulary) + 1, bool)  # there: the item words of the text; -1 is the spare place
-            for f, m in zip(first[many >= LEAST_HITS], many[many >= LEAST_HITS]):
-                d, i = doc[f], item[f]
-                if d != last:
-                    there[own] = False
-                    last, own = d, flat[starts[d] : starts[d + 1] if d + 1 < len(starts) else None]
-                    there[own] = True
-                known = there[seeds.items[i]]
-                if np.count_nonzero(known) < WANTED:
-                    continue
-                run, wide = np.concatenate([[0], np.cumsum(known)]), min(WINDOW, len(known))
-                if (run[wide:] - run[:-wide]).max() < WANTED:
-                    continue
-                if quoted(seeds.items[i], own, at[f : f + m] - starts[d] - place[f : f + m], lambda d=d: sentence_ends(texts[int(d)].as_py())):
-                    out.append((ids[d], seeds.ids[i]))
-            got = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=names)
+        several = len(broadcasts) > 1
+        for ids, texts, found in _groups(batches, GROUP_WORDS if several else 0):
+            for block in broadcasts:
+                yield _quotes(block.value, ids, texts, found, names)
+                if several and hasattr(block, "_value"):
+                    del block._value  # at most one block is held; it is read again from the worker's own copy
 
     return run
+
+
+def _quotes(seeds: Seeds, ids: np.ndarray, texts: list[str], found: list[list[str]], names: list[str]) -> pa.RecordBatch:
+    """The (id, item) pairs of a group of texts with the items of a block."""
+    number = seeds.vocabulary.get
+    numbers, starts = [], []
+    for own in found:
+        starts.append(len(numbers))
+        numbers += [number(w, -1) for w in own]
+        numbers += (-1, -1, -1, -1)
+    flat, starts = np.array(numbers, np.int64), np.array(starts, np.int64)
+    at, item, place = seeds.hits(flat)
+    doc = np.searchsorted(starts, at, "right") - 1
+    order = np.lexsort((item, doc))
+    at, item, place, doc = at[order], item[order], place[order], doc[order]
+    pair = doc * np.int64(len(seeds.items)) + item
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([first, [len(pair)]]))
+    out, last, own, there = [], -1, flat[:0], np.zeros(len(seeds.vocabulary) + 1, bool)  # there: the item words of the text; -1 is the spare place
+    for f, m in zip(first[many >= LEAST_HITS], many[many >= LEAST_HITS]):
+        d, i = doc[f], item[f]
+        if d != last:
+            there[own] = False
+            last, own = d, flat[starts[d] : starts[d + 1] if d + 1 < len(starts) else None]
+            there[own] = True
+        known = there[seeds.items[i]]
+        if np.count_nonzero(known) < WANTED:
+            continue
+        run, wide = np.concatenate([[0], np.cumsum(known)]), min(WINDOW, len(known))
+        if (run[wide:] - run[:-wide]).max() < WANTED:
+            continue
+        if quoted(seeds.items[i], own, at[f : f + m] - starts[d] - place[f : f + m], lambda d=d: sentence_ends(texts[int(d)])):
+            out.append((d, ids[d], seeds.ids[i]))
+    got = np.array(list(dict.fromkeys(out)), np.int64).reshape(-1, 3)  # an item of several texts is named once
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 1]), pa.array(got[:, 2])], names=names)

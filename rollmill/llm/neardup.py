@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.llm.components import connected_components
@@ -27,6 +28,9 @@ FOLD_WORDS = 2
 #: The least threshold at which texts that are linked, but not equal, share three elements.
 LEAST_THRESHOLD = 0.75
 
+#: Bytes of an index row, and of such rows that a task of the join should read of one side; most partitions of that shuffle.
+KEY_BYTES, TASK_BYTES, MOST_TASKS = 36, 8 << 20, 20_000
+
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -164,6 +168,18 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
     return one.join(other, "key").where((F.col("id1") < F.col("id2")) & near).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+@contextmanager
+def _tasks_for(spark: SparkSession, size: int) -> Iterator[None]:
+    """Shuffles inside have at least so many partitions that ``size`` bytes make tasks of TASK_BYTES; small ones are merged at run time."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), min(MOST_TASKS, -(-size // TASK_BYTES)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75) -> DataFrame:
     """One row per record with text: ``id``, ``class_id`` (records of equal words share it), ``group_id``, ``n_links``.
 
@@ -203,8 +219,8 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     total = reps.count()
     codes_of = spark.sparkContext.broadcast(_planes(_slot_codes(reps, total)))
     keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
-    pairs = _candidates(keys, threshold)
-    pairs = written(pairs, "candidates")
+    with _tasks_for(spark, total * CHUNKS * SET_BITS * KEY_BYTES):
+        pairs = written(_candidates(keys, threshold), "candidates")
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
     left = involved.select(F.col("id").alias("a"), F.col("e").alias("ea"))
     right = involved.select(F.col("id").alias("b"), F.col("e").alias("eb"))
