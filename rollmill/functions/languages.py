@@ -18,7 +18,16 @@ FUNCTION_WORDS = {
     "nl": "de het een van en is dat op te zijn voor met niet aan er om ook als dan maar bij uit nog naar heeft hebben wordt door over deze dit ze kan geen meer veel tot wat waar".split(),
 }
 # Languages told by their script alone, as regular expressions name it.
-SCRIPTS = {"ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "zh": r"\p{IsHan}", "ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}", "el": r"\p{IsGreek}", "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}"}
+SCRIPTS = {"ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "zh": r"\p{IsHan}", "ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}", "el": r"\p{IsGreek}", "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}",
+    "bn": r"\p{IsBengali}", "ta": r"\p{IsTamil}", "te": r"\p{IsTelugu}", "kn": r"\p{IsKannada}", "gu": r"\p{IsGujarati}", "pa": r"\p{IsGurmukhi}", "ml": r"\p{IsMalayalam}"}
+# Codes whose script stands for them; languages that share one aren't told apart.
+SAME_SCRIPT = {"zh-cn": "zh", "zh-tw": "zh", "uk": "ru", "bg": "ru", "fa": "ar", "ur": "ar", "ne": "hi", "mr": "hi"}
+# Names of the languages by code.
+NAMES = {
+    "en": "English", "es": "Spanish", "pt": "Portuguese", "ar": "Arabic", "hi": "Hindi", "fr": "French", "ru": "Russian", "de": "German", "ja": "Japanese", "it": "Italian", "bn": "Bengali", "uk": "Ukrainian", "th": "Thai",
+    "ur": "Urdu", "ta": "Tamil", "te": "Telugu", "bg": "Bulgarian", "ko": "Korean", "pl": "Polish", "he": "Hebrew", "fa": "Persian", "vi": "Vietnamese", "ne": "Nepali", "sw": "Swahili", "kn": "Kannada", "mr": "Marathi",
+    "gu": "Gujarati", "pa": "Punjabi", "ml": "Malayalam", "fi": "Finnish", "zh-cn": "Chinese", "zh-tw": "Traditional Chinese",
+}
 #: Share of the letters that a script must have.
 MOST_LETTERS = 0.3
 
@@ -40,7 +49,18 @@ def language(x: Column) -> Column:
     return F.coalesce(out, let(F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+)"), F.lit(1)), voted))
 
 
+def name_of(code: Column) -> Column:
+    """The name of a language code; NULL for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in NAMES.items() for v in pair]), code)
+
+
 def is_language(x: Column, code: Column | str, detected: Column | None = None) -> Column:
-    """Whether a text is in the language; true where none can be told. ``detected`` replaces the language by that of another detector."""
-    own = detected if detected is not None else language(x)
-    return F.when(x.isNotNull(), F.coalesce(own == (F.lit(code) if isinstance(code, str) else code), F.lit(True)))
+    """Whether a text is in the language; true where none can be told, and for a code without words or script if the text's letters are
+    Latin. ``detected`` replaces the language by that of another detector."""
+    wanted = F.lit(code) if isinstance(code, str) else code
+    if detected is not None:
+        return F.when(x.isNotNull(), F.coalesce(detected == wanted, F.lit(True)))
+    for other, script in SAME_SCRIPT.items():
+        wanted = F.when(wanted == other, F.lit(script)).otherwise(wanted)
+    same = lambda own: F.coalesce((own == wanted) | (~wanted.isin(*FUNCTION_WORDS, *SCRIPTS) & own.isin(*FUNCTION_WORDS)), F.lit(True))
+    return F.when(x.isNotNull(), let(language(x), same))

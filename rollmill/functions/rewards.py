@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +47,22 @@ def repetition_dense(items: Column, n: int, penalty: float, only_start: bool = F
 
 #: Sparse rewards, and the dense one, by name.
 REWARDS = {"classic": classic, "cosine": cosine, "length_scaled": length_scaled, "repetition": repetition_dense}
+def combined(parts: list[Column], weights: list[float] | None = None, rule: Callable[[list[Column]], Column] | None = None) -> Column:
+    """One reward of several models: their (weighted) sum, or what another rule makes of them. A NULL part makes the sum NULL."""
+    if not parts or (weights is not None and len(weights) != len(parts)):
+        raise ValueError("as many weights as rewards are needed, and one at least")
+    if rule is not None:
+        return rule(parts)
+    scaled = parts if weights is None else [p * w for p, w in zip(parts, weights)]
+    return reduce(lambda a, b: a + b, scaled)
+
+
+def shaped(name: str, score: Callable[[Column, Column], Column], prediction: Column, reference: Column, length: Column, limit: int, **options) -> Column:
+    """A sparse reward by name, its correctness given by a score function of the caller's: right where the score is above one half."""
+    right = F.coalesce(score(prediction, reference) > 0.5, F.lit(False))
+    return REWARDS[name](length, right, limit, **options)
+
+
 #: The addresses that name a rule-based reward, and how all of them begin.
 ADDRESSES = {"math_rule": "classic", "math_rule_cosine_scale": "cosine", "math_rule_len_scale": "length_scaled", "math_rule_repetition_dense": "repetition"}
 RULE_ADDRESS = "math_rule"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollmill.functions.rewards import combined
 from rollmill.operators import groups, order, postprocess, shape
 from rollmill.plans.tables import table
 
@@ -116,8 +117,8 @@ def kto_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def sum_reward_models(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "preference_pairs").where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
-    models = F.array(F.length("chosen").cast("double"), F.length("rejected").cast("double") * 0.5, F.coalesce("margin", F.lit(0.0)))
-    return rows.select("seq", F.round(F.aggregate(models, F.lit(0.0), lambda a, x: a + x), 6).alias("reward"))
+    models = [F.length("chosen").cast("double"), F.length("rejected").cast("double"), F.coalesce("margin", F.lit(0.0))]
+    return rows.select("seq", F.round(combined(models, [1.0, 0.5, 1.0]), 6).alias("reward"))
 
 
 def reward_zscore(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,9 +10,11 @@ from rollmill.functions import arrays as A
 from rollmill.functions import checkers as C
 from rollmill.functions import losses as L
 from rollmill.functions import steps
+from rollmill.functions import text as X
 from rollmill.operators import benchmarks, shape, tokenise
 from rollmill.plans.tables import table
 from rollmill.plans.tokens import _pairs, _r, _seqs
+from rollmill.sources import io
 from rollmill.streaming import state
 
 
@@ -202,11 +204,26 @@ def template_pairs(spark, folder):
     return shape.paired_rows(talks, "c", "j", margin="margin", messages=True, dpo=True, eos="</s>")
 
 
+def token_ngrams(spark, folder):
+    """Pairs of successive token ids, all and different ones."""
+    ids = F.transform("embedding", lambda x: F.floor(x.cast("double") * 4).cast("int"))
+    g = X.ngrams(ids, 2)
+    return table(spark, folder, "embeddings").select("vec_id", F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("n_distinct"))
+
+
+def served_scores(spark, folder):
+    """Answers without end and padding marks, scored in batches by a service, here the length of the text."""
+    text = X.strip_marks(F.concat(F.lit("<pad>"), "response", F.lit("</s><pad>")), "</s>", "<pad>")
+    rows = table(spark, folder, "sft_pairs").where(F.col("response").isNotNull()).select("seq", text.alias("text"))
+    return io.score_rows(rows, lambda batch: batch["text"].str.len()).select("seq", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         benchmark_truths, benchmark_questions, few_shot_cot, byte_tokens, judge_token_inputs, collated_batches, uncollated_rows, rectangles, packed_generations, closed_ids, packed_logps, shifted_lm_loss,
-        soft_prm_loss, prm_evaluation, kto_evaluation, mixed_losses, bonus_scores, rank_reduce, critic_status, moving_averages, resumed_order, request_engines, resumed_shard, instruction_conflicts, template_pairs,
+        soft_prm_loss, prm_evaluation, kto_evaluation, mixed_losses, bonus_scores, rank_reduce, critic_status, moving_averages, resumed_order, request_engines, resumed_shard, instruction_conflicts, template_pairs, token_ngrams,
+        served_scores,
     )
 }
 
@@ -226,6 +243,11 @@ _PAIRED = _TOK + ", p AS (SELECT vec_id, list_sum(x[1:len(x)//2]) AS c, list_sum
 _SIG = lambda z: f"(1 / (1 + exp(-({z}))))"
 _STEPS = ", t AS (SELECT vec_id, label, list_transform(list_filter(ix, lambda i: i % 9 = 8), lambda i: x[i + 1] - 0.5) AS z FROM s), b AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN 0.5 ELSE -0.5 END AS b, z, CASE WHEN len(z) < 2 THEN z ELSE list_concat(z[:len(z) - 2], z[len(z):]) END AS k FROM t)"
 SQL = {
+    "token_ngrams": """
+        WITH i AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 4)::INTEGER) AS i FROM embeddings), g AS (SELECT vec_id, list_transform(range(greatest(len(i) - 1, 0)), lambda k: i[k + 1:k + 2]) AS g FROM i)
+        SELECT vec_id, CAST(len(g) AS INTEGER) AS n, CAST(len(list_distinct(g)) AS INTEGER) AS n_distinct FROM g
+    """,
+    "served_scores": "SELECT seq, CAST(length(regexp_replace(regexp_replace('<pad>' || response || '</s><pad>', '^(</s>|<pad>)+', ''), '(</s>|<pad>)+$', '')) + 4 AS DOUBLE) AS score FROM sft_pairs WHERE response IS NOT NULL",
     "benchmark_truths": "SELECT event_id, 'It is ' || event_type || '.' AS gt_cot, event_id * 7.0::DOUBLE AS gt FROM events",
     "benchmark_questions": "SELECT event_id, 'About ' || event_type || '. What is it?' || CASE WHEN event_id % 3 < 2 THEN ' (Yes or No)' ELSE '' END AS built_question FROM events",
     "few_shot_cot": """

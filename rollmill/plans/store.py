@@ -57,6 +57,12 @@ def discard(df: DataFrame) -> None:
         own.difference_update({p for p in own if p.rpartition("/")[2] == path.rpartition("/")[2]})
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver drop what it no longer refers to, so that executors delete the shuffle files of finished jobs now rather than when
+    the driver's memory runs short. For use between jobs that shuffle much."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> int:
     """Delete every table that this application wrote and hasn't discarded; results that read them are void then. Returns their number."""
     paths = _written.pop(spark.sparkContext.applicationId, set())

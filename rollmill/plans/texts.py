@@ -176,7 +176,7 @@ def judge_pairs(spark, folder):
     return q.select("seq", "q_pos", F.explode(F.array(F.lit("YES"), F.lit("NO"))).alias("verdict"), "question")
 
 
-_RE2 = {"IsHiragana": "Hiragana", "IsKatakana": "Katakana", "IsHangul": "Hangul", "IsHan": "Han", "IsCyrillic": "Cyrillic", "IsArabic": "Arabic", "IsHebrew": "Hebrew", "IsGreek": "Greek", "IsDevanagari": "Devanagari", "IsThai": "Thai"}
+_RE2 = {"IsHiragana": "Hiragana", "IsKatakana": "Katakana", "IsHangul": "Hangul", "IsHan": "Han", "IsCyrillic": "Cyrillic", "IsArabic": "Arabic", "IsHebrew": "Hebrew", "IsGreek": "Greek", "IsDevanagari": "Devanagari", "IsThai": "Thai", "IsBengali": "Bengali", "IsTamil": "Tamil", "IsTelugu": "Telugu", "IsKannada": "Kannada", "IsGujarati": "Gujarati", "IsGurmukhi": "Gurmukhi", "IsMalayalam": "Malayalam"}
 
 
 def _re2(pattern: str) -> str:

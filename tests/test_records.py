@@ -118,6 +118,11 @@ def test_more_checkers(spark):
 def test_languages(spark):
     texts = ["The cat is on the mat and it sleeps.", "Le chat est sur le tapis et il dort.", "El gato está en la mesa y no duerme.", "il gatto è sul tavolo e non dorme", "これはペンです。", "这是一支笔。", "Это ручка.", "", "123", None]
     assert column(spark, G.language, texts) == ["en", "fr", "es", "it", "ja", "zh", "ru", None, None, None]
+    asked = ["zh-cn", "uk", "pl", "fi", "en"]
+    given = ["这是一支笔。", "Это ручка.", "The cat is on the mat.", "Это ручка.", "Это ручка."]
+    rows = spark.createDataFrame(list(enumerate(zip(asked, given))), "i int, p struct<code:string,x:string>")
+    got = [tuple(r) for r in rows.orderBy("i").select(G.is_language(F.col("p.x"), F.col("p.code")), G.name_of(F.col("p.code"))).collect()]
+    assert got == [(True, "Chinese"), (True, "Ukrainian"), (True, "Polish"), (False, "Finnish"), (False, "English")]
 
 
 def test_flat_passes_against_plain_loops(spark):
@@ -157,6 +162,17 @@ def test_reward_addresses():
         rewards.selected("math_rule_other")
 
 
+def test_combined_and_shaped_rewards(spark):
+    rows = spark.createDataFrame([(1.0, 3.0, "a", "a"), (None, 2.0, "a", "b")], "x double, y double, p string, r string")
+    got = [tuple(r) for r in rows.select(rewards.combined([F.col("x"), F.col("y")], [1.0, 0.5]), rewards.combined([F.col("x"), F.col("y")], rule=lambda p: F.greatest(*p))).collect()]
+    assert got == [(2.5, 3.0), (None, 2.0)]
+    same = lambda p, r: (p == r).cast("double")
+    got = [r[0] for r in rows.select(rewards.shaped("classic", same, F.col("p"), F.col("r"), F.lit(10), 100, right=1.0, wrong=-1.0)).collect()]
+    assert got == [1.0, -1.0]
+    with pytest.raises(ValueError):
+        rewards.combined([], None)
+
+
 def test_benchmark_records(spark):
     rows = spark.createDataFrame([("work #### 1,000", "x"), (None, "y")], "answer string, gt string").drop("gt")
     assert [tuple(r) for r in benchmarks.with_truth(rows, "gsm8k").select("gt_cot", "gt").collect()] == [("work", "1,000"), (None, None)]
