@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.components import connected_components
 from rollmill.llm.bitmap import bitmap, with_maybe
-from rollmill.plans.store import discard, written
+from rollmill.plans.store import discard, tidy, written
 
 #: Slots of the hashed document-frequency table (four bits each in the broadcast: 4 MB).
 SLOTS = 1 << 23
@@ -29,7 +29,7 @@ FOLD_WORDS = 2
 LEAST_THRESHOLD = 0.75
 
 #: Bytes of an index row, and of such rows that a task of the join should read of one side; most partitions of that shuffle.
-KEY_BYTES, TASK_BYTES, MOST_TASKS = 36, 8 << 20, 20_000
+KEY_BYTES, TASK_BYTES, MOST_TASKS = 36, 4 << 20, 20_000
 
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -214,19 +214,21 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     reps = written(marked.where(~F.col("maybe")).select("id", "n", "e").union(merged), "classes")
 
     discard(records)
-
     spark = df.sparkSession
+    tidy(spark)
     total = reps.count()
     codes_of = spark.sparkContext.broadcast(_planes(_slot_codes(reps, total)))
     keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
     with _tasks_for(spark, total * CHUNKS * SET_BITS * KEY_BYTES):
         pairs = written(_candidates(keys, threshold), "candidates")
+    tidy(spark)
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
     left = involved.select(F.col("id").alias("a"), F.col("e").alias("ea"))
     right = involved.select(F.col("id").alias("b"), F.col("e").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
     enough = F.col("s") >= F.lit(threshold) * (F.size("ea") + F.size("eb") - F.col("s")) - F.lit(1e-9)
     links = written(pairs.join(left, "a").join(right, "b").withColumn("s", shared).where(enough).select("a", "b"), "links")
+    tidy(spark)
     groups = connected_components(links).select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return (

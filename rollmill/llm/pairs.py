@@ -414,7 +414,7 @@ def flag_pairs(df: DataFrame, keys: list[str], prompt: str, answer: str) -> Data
     """
     fields = [f for f in df.schema.fields if f.name in keys]
     names = [f.name for f in fields]
-    found = "_defects array<string>, _rule string, word string"
+    found = "_defects array<string>, _rule string, _word string"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,15 +429,15 @@ def flag_pairs(df: DataFrame, keys: list[str], prompt: str, answer: str) -> Data
                     words.append(hangs[1] if hangs else None)
             kept = batch.take(pa.array(at, pa.int64()))
             columns = [pa.array(lists, pa.list_(pa.string())), pa.array(rules, pa.string()), pa.array(words, pa.string())]
-            yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *columns], names=[*names, "_defects", "_rule", "word"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *columns], names=[*names, "_defects", "_rule", "_word"])
 
     answers = df.where(F.col(answer).isNotNull()).select(answer)
     flagged = written(df.select(*names, F.col(prompt).alias("prompt"), F.col(answer).alias("answer")).mapInArrow(run, schema), "flags")
-    hanging = flagged.where(F.col("word").isNotNull())
-    verdicts = _endings(answers, hanging.select("word").distinct())
-    cut = F.when(F.col("_rule") == "cut", F.col("cut")).otherwise(~F.col("whole"))
-    decided = hanging.join(verdicts, "word").select(*names, F.filter("_defects", lambda d: (d != "truncated") | cut).alias("_defects"))
-    every = flagged.where(F.col("word").isNull()).select(*names, "_defects").unionByName(decided)
+    hanging = flagged.where(F.col("_word").isNotNull())
+    verdicts = _endings(answers, hanging.select(F.col("_word").alias("word")).distinct()).toDF("_word", "_cut", "_whole")
+    cut = F.when(F.col("_rule") == "cut", F.col("_cut")).otherwise(~F.col("_whole"))
+    decided = hanging.join(verdicts, "_word").select(*names, F.filter("_defects", lambda d: (d != "truncated") | cut).alias("_defects"))
+    every = flagged.where(F.col("_word").isNull()).select(*names, "_defects").unionByName(decided)
     return every.select(*names, F.posexplode("_defects").alias("_at", "defect")).select(*names, "defect", (F.col("_at") + 1).alias("place"))
 
 

@@ -39,8 +39,9 @@ def top_n_per_group(
        a bin holds a 64-bit set of hashed ties: its bits never exceed the number of different rows. Walking the bins
        down from the top gives the highest bin with at least ``n`` rows in it or above.
     3. Rows under their group's threshold are dropped by a map-side join with the thresholds (of
-       12 bytes, the ``max_thresholds`` largest groups; groups that share a hash take the lower one), copies are merged and the
-       survivors ranked exactly; Spark cuts each map task's share to ``n`` rows a group before the shuffle.
+       12 bytes, the ``max_thresholds`` largest groups; groups that share a hash take the lower one). Copies of the survivors
+       are merged by a shuffle on group and tie, which spreads a hot group of tied scores evenly; then Spark cuts each map
+       task's share to ``n`` rows a group before the shuffle on groups, in which the rows are ranked exactly.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
