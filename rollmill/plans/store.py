@@ -57,6 +57,15 @@ def discard(df: DataFrame) -> None:
         own.difference_update({p for p in own if p.rpartition("/")[2] == path.rpartition("/")[2]})
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table made by :func:`written`."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        return int(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength())
+    return 0
+
+
 def tidy(spark: SparkSession) -> None:
     """Have the driver drop what it no longer refers to, so that executors delete the shuffle files of finished jobs now rather than when
     the driver's memory runs short. For use between jobs that shuffle much."""
