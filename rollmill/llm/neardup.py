@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.components import connected_components
 from rollmill.llm.bitmap import bitmap, with_maybe
-from rollmill.plans.store import discard, tidy, written
+from rollmill.plans.store import discard, stored_bytes, tidy, written
 
 #: Slots of the hashed document-frequency table (four bits each in the broadcast: 4 MB).
 SLOTS = 1 << 23
@@ -169,15 +169,22 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
 
 
 @contextmanager
-def _tasks_for(spark: SparkSession, size: int) -> Iterator[None]:
-    """Shuffles inside have at least so many partitions that ``size`` bytes make tasks of TASK_BYTES; small ones are merged at run time."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(before), min(MOST_TASKS, -(-size // TASK_BYTES)))))
+def _tasks_for(spark: SparkSession, size: int, read: int) -> Iterator[None]:
+    """Inside, ``size`` bytes that are shuffled make tasks of about TASK_BYTES on both sides: so many shuffle partitions at least (small
+    ones are merged at run time), and splits of the ``read`` bytes they come from that are as many."""
+    tasks = max(1, min(MOST_TASKS, -(-size // TASK_BYTES)))
+    wanted = {"spark.sql.shuffle.partitions": max, "spark.sql.files.maxPartitionBytes": min, "spark.sql.files.openCostInBytes": min}
+    values = {"spark.sql.shuffle.partitions": tasks, "spark.sql.files.maxPartitionBytes": max(1 << 16, -(-read // tasks)), "spark.sql.files.openCostInBytes": 1 << 16}
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    before = {name: spark.conf.get(name) for name in wanted}
+    number = lambda name: int(before[name]) if name.endswith("partitions") else int(jvm.byteStringAsBytes(before[name]))
+    for name, pick in wanted.items():
+        spark.conf.set(name, str(pick(number(name), values[name])))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75) -> DataFrame:
@@ -218,8 +225,8 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     tidy(spark)
     total = reps.count()
     codes_of = spark.sparkContext.broadcast(_planes(_slot_codes(reps, total)))
-    keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
-    with _tasks_for(spark, total * CHUNKS * SET_BITS * KEY_BYTES):
+    with _tasks_for(spark, total * CHUNKS * SET_BITS * KEY_BYTES, stored_bytes(reps)):
+        keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
         pairs = written(_candidates(keys, threshold), "candidates")
     tidy(spark)
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
