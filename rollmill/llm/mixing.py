@@ -76,7 +76,7 @@ def tempered_targets(
     repetition limits (``repeats`` times a source's tokens) allow some largest budget. Without a stated budget, the exponents at which
     every weight is within ``tolerance`` (in proportion) of its target are found by bisection, and the budget is the largest that they allow. The
     exponent is then the smallest, found by bisection, at which the budget keeps the repetition limits: 0 if the targets themselves do.
-    A budget beyond what the natural shares allow is cut to that.
+    A budget beyond what any exponent allows is cut to the largest that one does.
     """
     t, q, r = (np.asarray(x, float) for x in (tokens, targets, repeats))
     there = (t > 0) & (q > 0) & (r > 0)
@@ -108,7 +108,7 @@ def tempered_targets(
 
 
 def larger_budget(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence[float], reach: float) -> float:
-    """The token budget that lies the share ``reach`` of the way from the largest at which the targets hold to what the natural shares allow."""
+    """The token budget that lies the share ``reach`` of the way from the largest at which the targets hold to the largest that any exponent allows."""
     exact, natural = tempered_targets(tokens, targets, repeats)[2], tempered_targets(tokens, targets, repeats, math.inf)[2]
     return exact + reach * max(0.0, natural - exact)
 

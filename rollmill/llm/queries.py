@@ -11,7 +11,7 @@ from rollmill.llm import leak, mixing, neardup, packing, pairs, subjects, tokens
 from rollmill.plans.store import written
 from rollmill.plans.tables import table
 
-#: The budgeted mixes lie halfway between exact targets and natural shares.
+#: The budgets of the budgeted mixes lie halfway from exact targets to the most that any exponent allows.
 REACH = 0.5
 #: The other mixes may be so far, in proportion, from their targets.
 TOLERANCE = 0.02
