@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SLOTS = 1 << 23
 MOST_CODE, SLOPE = 10, 0.75
 #: Chunks of a signature, and bits that are set in each.
 CHUNKS, SET_BITS = 6, 4
+#: The chunks are filed and joined in so many rounds. The index rows of one round only are on disk at a time; each round reads the classes again.
+ROUNDS = 2
 #: Signatures closer than this (in bits) have, by the pigeonhole principle, a chunk with at most one error (two bits).
 REACH = 4 * CHUNKS
 #: Bits of the folded signature that is compared when two chunks meet, in words of 64.
@@ -114,8 +117,8 @@ def _chunk(flat: np.ndarray, doc: np.ndarray, weight: np.ndarray, total: np.ndar
     return d[won], rank[won], h[won]
 
 
-def _keys(codes_of):
-    """Signatures to index rows: (key, id, size, folded signature), one for every chunk and every bit taken out of it."""
+def _keys(codes_of, chunks: range):
+    """Signatures to index rows: (key, id, size, folded signature), one for every one of these chunks and every bit taken out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codes_of.value
@@ -130,7 +133,7 @@ def _keys(codes_of):
             weight = np.exp2(SLOPE * (code[known] - 1.0))
             total = np.bincount(doc, weights=weight, minlength=len(size))
             keys, docs = [], []
-            for number in range(CHUNKS):
+            for number in chunks:
                 d, rank, h = _chunk(flat, doc, weight, total, number)
                 bits = np.zeros((len(size), SET_BITS), np.uint64)
                 bits[d, rank] = _mix(h ^ np.uint64(11))
@@ -206,6 +209,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
        (a bit exchanged) agree in one of these keys, so by the pigeonhole principle *all* pairs of signatures at a
        distance under ``REACH`` bits meet. At similarity 0.75 of the drawn elements, a chunk has at most one error with
        probability 0.82, and all ``CHUNKS`` fail with probability 0.00004. A key holds three elements, mostly rare ones.
+       The chunks go in ``ROUNDS`` rounds, which bounds the disk that keys take; what they meet is put together.
     4. Pairs that meet are tested on folded signatures, then on the elements themselves; components of the links are the groups.
     """
     if not LEAST_THRESHOLD <= threshold <= 1:
@@ -225,10 +229,15 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     tidy(spark)
     total = reps.count()
     codes_of = spark.sparkContext.broadcast(_planes(_slot_codes(reps, total)))
-    with _tasks_for(spark, total * CHUNKS * SET_BITS * KEY_BYTES, stored_bytes(reps)):
-        keys = reps.mapInArrow(_keys(codes_of), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
-        pairs = written(_candidates(keys, threshold), "candidates")
-    tidy(spark)
+    met = []
+    for chunks in (range(r, CHUNKS, ROUNDS) for r in range(ROUNDS)):
+        with _tasks_for(spark, total * len(chunks) * SET_BITS * KEY_BYTES, stored_bytes(reps)):
+            keys = reps.mapInArrow(_keys(codes_of, chunks), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
+            met.append(written(_candidates(keys, threshold), "candidates"))
+        tidy(spark)  # before the next round shuffles
+    pairs = written(reduce(DataFrame.union, met).distinct(), "pairs")
+    for table in met:
+        discard(table)
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
     left = involved.select(F.col("id").alias("a"), F.col("e").alias("ea"))
     right = involved.select(F.col("id").alias("b"), F.col("e").alias("eb"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rollmill.llm import neardup
 from rollmill.llm.bitmap import bitmap, with_maybe
 from rollmill.llm.components import connected_components
 from rollmill.llm.neardup import near_duplicate_pairs, near_duplicates
@@ -91,6 +92,25 @@ def test_recall_does_not_depend_on_length(spark, length, zipf):
     assert len(set(group.values())) >= true  # nothing else is joined
 
 
+def test_index_rows_go_in_rounds_that_file_every_chunk(spark, monkeypatch):
+    """No round shuffles more than half of the index rows; together they have all of them, each once."""
+    filed, candidates = [], neardup._candidates
+
+    def spy(keys, threshold):
+        filed.append([tuple(r) for r in keys.select("key", "id").collect()])
+        return candidates(keys, threshold)
+
+    monkeypatch.setattr(neardup, "_candidates", spy)
+    rows = [(i, " ".join(f"w{(i // 2 * 7 + k) % 900}" for k in range(40))) for i in range(400)]
+    rows = [(i, f"{t} own{i}") for i, t in rows]
+    out = near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()
+    whole = neardup.CHUNKS * neardup.SET_BITS * len(rows)
+    every = [x for part in filed for x in part]
+    assert len(every) == len(set(every)) == whole and max(map(len, filed)) <= whole / 2
+    group = {r.id: r.group_id for r in out}
+    assert group == brute(rows, 0.75)
+
+
 def test_threshold_below_the_reach_of_the_index(spark):
     with pytest.raises(ValueError):
         near_duplicates(spark.createDataFrame([(1, "a")], "id bigint, text string"), "id", "text", 0.7)
