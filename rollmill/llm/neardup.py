@@ -233,17 +233,17 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float = 0.75)
     for chunks in (range(r, CHUNKS, ROUNDS) for r in range(ROUNDS)):
         with _tasks_for(spark, total * len(chunks) * SET_BITS * KEY_BYTES, stored_bytes(reps)):
             keys = reps.mapInArrow(_keys(codes_of, chunks), "key bigint, id bigint, n int, " + ", ".join(f"w{i} bigint" for i in range(FOLD_WORDS)))
-            met.append(written(_candidates(keys, threshold), "candidates"))
-        tidy(spark)  # before the next round shuffles
+            met.append(written(_candidates(keys, threshold), "candidates", drop_shuffles=True))
     pairs = written(reduce(DataFrame.union, met).distinct(), "pairs")
     for table in met:
         discard(table)
+    tidy(spark)
     involved = with_maybe(reps, F.col("id"), bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))).where("maybe")
     left = involved.select(F.col("id").alias("a"), F.col("e").alias("ea"))
     right = involved.select(F.col("id").alias("b"), F.col("e").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
     enough = F.col("s") >= F.lit(threshold) * (F.size("ea") + F.size("eb") - F.col("s")) - F.lit(1e-9)
-    links = written(pairs.join(left, "a").join(right, "b").withColumn("s", shared).where(enough).select("a", "b"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").withColumn("s", shared).where(enough).select("a", "b"), "links", drop_shuffles=True)
     tidy(spark)
     groups = connected_components(links).select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _written: dict[str, set[str]] = {}
 
@@ -33,11 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a scan of it (lineage ends here)."""
+def written(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a scan of it (lineage ends here).
+
+    ``drop_shuffles`` has Spark delete the write's shuffle files as it ends; a collection of garbage may find the last job still referred to.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rollmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -111,6 +114,23 @@ def test_index_rows_go_in_rounds_that_file_every_chunk(spark, monkeypatch):
     assert group == brute(rows, 0.75)
 
 
+def test_shuffles_of_a_written_table_go(spark):
+    code = """
+import glob, tempfile, time
+from pyspark.sql import SparkSession
+from rollmill.plans.store import _CLEANUP, written
+local = tempfile.mkdtemp(prefix="spark-")
+spark = SparkSession.builder.master("local[2]").config("spark.local.dir", local).config("spark.ui.enabled", "false").getOrCreate()
+out = written(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "counts", drop_shuffles=True)
+end = time.monotonic() + 10
+while (left := glob.glob(local + "/**/shuffle_*.data", recursive=True)) and time.monotonic() < end:
+    time.sleep(0.1)
+assert not left and out.count() == 10 and spark.conf.get(_CLEANUP, None) is None, left
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_threshold_below_the_reach_of_the_index(spark):
     with pytest.raises(ValueError):
         near_duplicates(spark.createDataFrame([(1, "a")], "id bigint, text string"), "id", "text", 0.7)
